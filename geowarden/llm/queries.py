@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_digests, vocabulary
 from .packing import pack
 from .simhash import simhash_groups
+from .quality import judge
 from .secrets import scan_secrets
 from .substrings import remove_repeats
 from .tokens import token_counts
@@ -56,3 +57,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents")).drop("distance")
