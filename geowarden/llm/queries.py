@@ -16,6 +16,7 @@ from .quality import judge
 from .secrets import scan_secrets
 from .substrings import remove_repeats
 from .tokens import token_counts
+from .vectors import vector_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -74,3 +75,8 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_groups(table(spark, sf_dir, "embeddings"))
