@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,25 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the folder that the cluster names (``spark.checkpoint.dir``)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that all executors share; one of our own only where none is set."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a Parquet table in the shared folder: for texts, which it compresses."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a checkpoint in the folder that the cluster names (``spark.checkpoint.dir``)."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -187,3 +187,12 @@ def judge(docs: DataFrame, text: str = "text", cut: float = CUT) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     found = outliers(stats, cut)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.col("outlier")).alias("kept"), "distance")
+
+
+def keep_good(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that judge() keeps, all columns."""
+    given = [F.col(c).cast("string") for c in ("lang", "source") if c in docs.columns]
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col(text), F.array(*given) if given else F.lit(0))
+    good = judge(docs.withColumn("doc_id", key), text, **how).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    keyed = docs.withColumn("_row", key)
+    return keyed.join(good, keyed["_row"] == good["_kept"], "left_semi").drop("_row")

@@ -14,7 +14,7 @@ from .packing import pack
 from .simhash import simhash_groups
 from .quality import judge
 from .secrets import scan_secrets
-from .substrings import remove_repeats
+from .substrings import repeat_digests
 from .tokens import token_counts
 from .vectors import vector_groups
 
@@ -39,7 +39,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return repeat_digests(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -21,8 +21,9 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import body, text_bytes
 
@@ -250,7 +251,8 @@ def _cut(text: bytes, words: list[bytes], gone: np.ndarray) -> bytes:
 def _removal(window: int, block: int, want: str):
     def remove(texts: pa.Table, repeats: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), (want, pa.string()))})
+            none = pa.array([], pa.int64())
+            return pa.table({"row": texts.column("row").slice(0, 0), "n_words": none, "n_removed": none, want: pa.array([], pa.string())})
         raw = texts.column("text").to_pylist()
         part = _Part(raw)
         gone = np.zeros(len(part.hash), dtype=bool)
@@ -277,32 +279,49 @@ def _removal(window: int, block: int, want: str):
                 out.append(None if t is None else _cut(t, ws, mine).decode() if removed[-1] else t.decode())
             else:
                 out.append(sha256(b" ".join([w for w, x in zip(ws, mine.tolist(), strict=True) if not x] if removed[-1] else ws)).hexdigest())
-        return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(part.n), "n_removed": pa.array(removed, pa.int64()), want: pa.array(out, pa.string())})
+        return pa.table({"row": texts.column("row"), "n_words": pa.array(part.n), "n_removed": pa.array(removed, pa.int64()), want: pa.array(out, pa.string())})
 
-    return remove, f"doc_id long, n_words long, n_removed long, {want} string"
+    return remove, f"n_words long, n_removed long, {want} string"
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False, text: str = "text", part_bytes: int = PART_BYTES, range_values: int = RANGE_VALUES) -> DataFrame:
-    """``doc_id, n_words, n_removed`` and the ``text`` that is left (or ``kept_sha256`` of its words).
+def _placed(docs: DataFrame, row: Column, text: str, parts: int) -> DataFrame:
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.substring(F.col(text).cast("string"), 1, 100)), F.lit(parts))
+    return docs.select(part.alias("part"), row.alias("row"), body(text).alias("text"))
 
-    A word goes if it lies in a window of ``window`` words whose words also begin anywhere else, in
-    the same text included; all windows are judged on the input.  Null texts have no words and stay
-    null; texts shorter than a window stay as they are; rows that repeat a doc_id are texts of their
-    own, and a null doc_id stays null; an empty table gives none; other columns are not looked at.
-    White space between kept words stays.
-    """
-    block = (window + 1) // 2
-    if block < 1:
+
+def _removed(docs: DataFrame, row: Column, want: str, window: int, text: str, part_bytes: int, range_values: int) -> DataFrame:
+    """``row, n_words, n_removed`` and the column ``want``."""
+    if window < 1:
         raise ValueError("a window has one word at least")
+    block = (window + 1) // 2
     total = text_bytes(docs, text)
-    parts = max(1, -(-total // part_bytes))
     bits = max(1, (max(1, total // 6) // range_values).bit_length())
-    placed = docs.select(F.pmod(F.xxhash64("doc_id", F.substring(F.col(text), 1, 100)), F.lit(parts)).alias("part"), F.col("doc_id").cast("long").alias("doc_id"), body(text).alias("text"))
+    placed = _placed(docs, row, text, max(1, -(-total // part_bytes)))
     send, schema = _anchors(window, block, bits)
     probes = placed.groupBy("part").applyInArrow(send, schema)
     found = probes.groupBy("bin").applyInArrow(_probe, "part long, found binary")
     send, schema = _windows(window, block, bits)
     candidates = placed.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(send, schema)
     repeats = candidates.groupBy("bin").applyInArrow(_verify, "part long, found binary")
-    remove, schema = _removal(window, block, "kept_sha256" if digest else "text")
-    return placed.groupBy("part").cogroup(repeats.groupBy("part")).applyInArrow(remove, schema)
+    remove, schema = _removal(window, block, want)
+    whole = T.StructType([placed.schema["row"], *T.StructType.fromDDL(schema).fields])
+    return placed.groupBy("part").cogroup(repeats.groupBy("part")).applyInArrow(remove, whole)
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", part_bytes: int = PART_BYTES, range_values: int = RANGE_VALUES) -> DataFrame:
+    """``docs`` without the words of repeated passages: all columns, ``text`` being what is left of it.
+
+    A word goes if it lies in a window of ``window`` words whose words also begin anywhere else, in
+    the same text included; all windows are judged on the input.  White space between kept words
+    stays.  Null texts have no words and stay null; texts shorter than a window stay as they are;
+    rows that repeat a doc_id are texts of their own; an empty table gives none; other columns may
+    have any names.
+    """
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text], F.lit(0).alias("any"))
+    left = _removed(docs, row, "text", window, text, part_bytes, range_values)
+    return left.select(*[(F.col("text") if c == text else F.col(f"row.c{k}")).alias(c) for k, c in enumerate(docs.columns)])
+
+
+def repeat_digests(docs: DataFrame, window: int = WINDOW, text: str = "text", part_bytes: int = PART_BYTES, range_values: int = RANGE_VALUES) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` (of the kept words, a space between) for each row; cases as above."""
+    return _removed(docs, F.col("doc_id").cast("long"), "kept_sha256", window, text, part_bytes, range_values).withColumnRenamed("row", "doc_id")

@@ -2,7 +2,7 @@ import random
 from collections import Counter
 from hashlib import sha256
 
-from geowarden.llm.substrings import remove_repeats
+from geowarden.llm.substrings import remove_repeats, repeat_digests
 from tests.conftest import SF
 
 
@@ -26,7 +26,7 @@ def got(df):
 
 def test_on_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert got(remove_repeats(docs, digest=True, part_bytes=60_000, range_values=5_000)) == brute([(r.doc_id, r.text) for r in docs.collect()], 35)
+    assert got(repeat_digests(docs, part_bytes=60_000, range_values=5_000)) == brute([(r.doc_id, r.text) for r in docs.collect()], 35)
 
 
 def test_small_windows_and_defined_cases(spark):
@@ -36,8 +36,9 @@ def test_small_windows_and_defined_cases(spark):
     rows += [(None, None, "a b c d e f g", None), (2, 7, None, "y"), (2, 7, "", "y"), (2, 8, "k l m n o p q r " * 3, "y"), (2, 8, "k l m n o p q r " * 3, "y")]
     docs = spark.createDataFrame(rows, schema)
     for window in (1, 2, 5, 8, 9):
-        assert got(remove_repeats(docs, window=window, digest=True, part_bytes=200, range_values=50)) == brute([(r[1], r[2]) for r in rows], window), window
-    assert remove_repeats(spark.createDataFrame([], schema)).count() == 0
+        assert got(repeat_digests(docs, window=window, part_bytes=200, range_values=50)) == brute([(r[1], r[2]) for r in rows], window), window
+    assert repeat_digests(spark.createDataFrame([], schema)).count() == remove_repeats(spark.createDataFrame([], schema)).count() == 0
+    assert Counter(tuple(r)[:2] + tuple(r)[3:] for r in remove_repeats(docs).collect()) == Counter(r[:2] + r[3:] for r in rows)
 
 
 def test_text_that_is_left(spark):
