@@ -7,7 +7,7 @@ holes are further edges of a filled part (even-odd).  Borders belong to what the
 
 from __future__ import annotations
 
-from math import pi
+from math import cos, pi, radians, sin
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,40 +37,55 @@ def half_box(lat: Column, meters: Column | float) -> tuple[Column, Column]:
     return high, high / F.greatest(F.cos(F.radians(lat)), F.lit(1e-6))
 
 
-def _edges(points: list[tuple[Column, Column]]) -> Column:
+def _edges(points: list[tuple[str, str]]) -> str:
     ring = [*points[1:], points[0]]
-    return F.array(*[F.struct(a[0].alias("y1"), a[1].alias("x1"), b[0].alias("y2"), b[1].alias("x2")) for a, b in zip(points, ring, strict=True)])
+    return "array(" + ", ".join(f"named_struct('y1', {a[0]}, 'x1', {a[1]}, 'y2', {b[0]}, 'x2', {b[1]})" for a, b in zip(points, ring, strict=True)) + ")"
 
 
-def point_area(lat: Column, lon: Column) -> Column:
+def point_area(lat: str, lon: str) -> str:
     return _edges([(lat, lon)])
 
 
-def box_area(lat: Column, lon: Column, meters: float) -> Column:
-    y, x = half_box(lat, meters)
-    return _edges([(lat - y, lon - x), (lat - y, lon + x), (lat + y, lon + x), (lat + y, lon - x)])
+def box_area(lat: str, lon: str, meters: float) -> str:
+    y = f"{meters / DEGREE_M!r}D"
+    x = f"({y} / greatest(cos(radians({lat})), 1e-6D))"
+    return _edges([(f"({lat} - {y})", f"({lon} - {x})"), (f"({lat} - {y})", f"({lon} + {x})"), (f"({lat} + {y})", f"({lon} + {x})"), (f"({lat} + {y})", f"({lon} - {x})")])
 
 
-def circle_area(lat: Column, lon: Column, meters: float, steps: int = CIRCLE_STEPS) -> Column:
-    """Polygon of destination points at even bearings, anticlockwise from north."""
-    from math import cos, radians, sin
-
-    d = meters / RADIUS_M
-    p, points = F.radians(lat), []
+def circle_area(lat: str, lon: str, meters: float, steps: int = CIRCLE_STEPS) -> str:
+    """Polygon of destination points at even bearings, from north against the clock."""
+    d, points = meters / RADIUS_M, []
     for k in range(steps):
         b = radians(-360 * k / steps)
-        y = F.asin(F.sin(p) * cos(d) + F.cos(p) * (sin(d) * cos(b)))
-        x = F.radians(lon) + F.atan2(F.cos(p) * (sin(b) * sin(d)), F.lit(cos(d)) - F.sin(p) * F.sin(y))
-        points.append((F.degrees(y), F.degrees(x)))
-    return _edges(points)
+        y = f"asin(sin(radians({lat})) * {cos(d)!r}D + cos(radians({lat})) * ({sin(d) * cos(b)!r}D))"
+        x = f"(radians({lon}) + atan2(cos(radians({lat})) * ({sin(b) * sin(d)!r}D), {cos(d)!r}D - sin(radians({lat})) * sin({y})))"
+        points.append((f"degrees({y})", f"degrees({x})"))
+    ends = ", ".join(f"named_struct('y', {y}, 'x', {x})" for y, x in points)
+    return f"transform(array({ends}), (c, i) -> named_struct('y1', c.y, 'x1', c.x, 'y2', c.y, 'x2', c.x))"
 
 
-def area(shape: str | None, lat: Column, lon: Column, meters: float) -> Column:
+def area(shape: str | None, lat: str, lon: str, meters: float) -> str:
+    """SQL of an area's edges around the columns of a place."""
     if shape is None or meters <= 0:
         return point_area(lat, lon)
     return circle_area(lat, lon, meters) if shape == "radius" else box_area(lat, lon, meters)
 
 
+def closed(ring: str) -> str:
+    """SQL of the edges between corners that a circle's edges still lack."""
+    return f"transform({ring}, (c, i) -> named_struct('y1', c.y1, 'x1', c.x1, 'y2', element_at({ring}, (i + 1) % size({ring}) + 1).y1, 'x2', element_at({ring}, (i + 1) % size({ring}) + 1).x1))"
+
+
+def with_areas(areas: dict[str, str], test: str) -> Column:
+    """A test over named areas, each worked out once per row: names are lambda variables.
+
+    As columns of a projection they would be copied to every place where the test names them.
+    """
+    for name, sql in reversed(areas.items()):
+        test = f"exists(array({sql}), {name}_ring -> exists(array({closed(f'{name}_ring')}), {name} -> {test}))"
+    return F.expr(test)
+
+
 def _cross(oy: str, ox: str, ay: str, ax: str, by: str, bx: str) -> str:
     return f"(({ax} - {ox}) * ({by} - {oy}) - ({ay} - {oy}) * ({bx} - {ox}))"
 
@@ -90,24 +105,24 @@ def _inside(y: str, x: str, edges: str, name: str) -> str:
     return f"({crossing} OR {border})"
 
 
-def areas_intersect(a: str, b: str) -> Column:
+def areas_intersect(a: str, b: str) -> str:
     """Two convex areas (columns of edges) share a point."""
-    return F.expr(f"exists({a}, e -> exists({b}, f -> {_meet('e', 'f')})) OR {_inside(f'{a}[0].y1', f'{a}[0].x1', b, 'g')} OR {_inside(f'{b}[0].y1', f'{b}[0].x1', a, 'h')}")
+    return (f"(exists({a}, e -> exists({b}, f -> {_meet('e', 'f')})) OR {_inside(f'{a}[0].y1', f'{a}[0].x1', b, 'g')} OR {_inside(f'{b}[0].y1', f'{b}[0].x1', a, 'h')})")
 
 
-def area_contains(a: str, b: str) -> Column:
+def area_contains(a: str, b: str) -> str:
     """A convex area contains another."""
-    return F.expr(f"forall({b}, e -> {_inside('e.y1', 'e.x1', a, 'g')})")
+    return (f"forall({b}, e -> {_inside('e.y1', 'e.x1', a, 'g')})")
 
 
-def object_intersects(parts: str, a: str) -> Column:
+def object_intersects(parts: str, a: str) -> str:
     """An object shares a point with a convex area."""
     edge = f"exists(p.edges, e -> exists({a}, f -> {_meet('e', 'f')}))"
     around = f"(p.fill AND {_inside(f'{a}[0].y1', f'{a}[0].x1', 'p.edges', 'g')})"
     within = f"{_inside('p.edges[0].y1', 'p.edges[0].x1', a, 'h')}"
-    return F.expr(f"exists({parts}, p -> {edge} OR {around} OR {within})")
+    return (f"exists({parts}, p -> {edge} OR {around} OR {within})")
 
 
-def object_within(parts: str, a: str) -> Column:
+def object_within(parts: str, a: str) -> str:
     """An object lies within a convex area: all its vertices do."""
-    return F.expr(f"forall({parts}, p -> forall(p.edges, e -> {_inside('e.y1', 'e.x1', a, 'g')} AND {_inside('e.y2', 'e.x2', a, 'h')}))")
+    return (f"forall({parts}, p -> forall(p.edges, e -> {_inside('e.y1', 'e.x1', a, 'g')} AND {_inside('e.y2', 'e.x2', a, 'h')}))")

@@ -37,8 +37,9 @@ def normalise(telemetry: DataFrame) -> DataFrame:
     )
 
 
-def _negated(op: str, meets: Column, within: Column) -> Column:
-    return {"intersects": meets, "nintersects": ~meets, "near": meets | within, "nnear": ~within | ~meets, "in": within, "nin": ~within}[op]
+def _negated(op: str, meets: str, within: str) -> str:
+    """What lies within an area also meets it, so NEAR needs one test and NNEAR the other."""
+    return {"intersects": meets, "nintersects": f"NOT {meets}", "near": meets, "nnear": f"NOT {within}", "in": within, "nin": f"NOT {within}"}[op]
 
 
 def object_hits(readings: DataFrame, objects: DataFrame, leaf: NearObjects, compat: bool = False) -> DataFrame:
@@ -50,11 +51,11 @@ def object_hits(readings: DataFrame, objects: DataFrame, leaf: NearObjects, comp
     if leaf.only is not None:
         readings = readings.filter(F.col("device_id").isin(list(leaf.only)))
     pairs = candidates.near_objects(readings, objects, leaf.area.meters, leaf.every, leaf.refs)
-    pairs = pairs.withColumn("area", geo.area(leaf.area.shape, F.col("lat"), F.col("lon"), leaf.area.meters))
-    meets, within = geo.object_intersects("parts", "area"), geo.object_within("parts", "area")
+    areas = {"mine": geo.area(leaf.area.shape, "lat", "lon", leaf.area.meters)}
+    meets, within = geo.object_intersects("parts", "mine"), geo.object_within("parts", "mine")
     if leaf.area.shape is None and not compat and leaf.op in ("in", "nin"):
         within = meets
-    return pairs.filter(_negated(leaf.op, meets, within)).groupBy("event_id").agg(F.array_sort(F.collect_set("object_id")).alias("refs"))
+    return pairs.filter(geo.with_areas(areas, _negated(leaf.op, meets, within))).groupBy("event_id").agg(F.array_sort(F.collect_set("object_id")).alias("refs"))
 
 
 def device_hits(readings: DataFrame, history: DataFrame, leaf: NearDevices, compat: bool = False) -> DataFrame:
@@ -63,13 +64,13 @@ def device_hits(readings: DataFrame, history: DataFrame, leaf: NearDevices, comp
         readings = readings.filter(F.col("device_id").isin(list(leaf.only)))
     wide = leaf.op in ("nintersects", "nnear")
     pairs = candidates.near_devices(readings, history, leaf.area.meters, leaf.every, leaf.refs, wide=wide, same=compat)
-    pairs = pairs.withColumn("mine", geo.area(leaf.area.shape, F.col("lat"), F.col("lon"), leaf.area.meters)).withColumn("theirs", geo.area(leaf.other.shape, F.col("other_lat"), F.col("other_lon"), leaf.other.meters))
+    areas = {"mine": geo.area(leaf.area.shape, "lat", "lon", leaf.area.meters), "theirs": geo.area(leaf.other.shape, "other_lat", "other_lon", leaf.other.meters)}
     meets = geo.areas_intersect("mine", "theirs")
     if leaf.area.shape is None:
         within = geo.area_contains("theirs", "mine") if leaf.other.shape else meets
     else:
         within = geo.area_contains("mine", "theirs")
-    return pairs.filter(_negated(leaf.op, meets, within)).groupBy("event_id").agg(F.array_sort(F.collect_set("other_id")).alias("refs"))
+    return pairs.filter(geo.with_areas(areas, _negated(leaf.op, meets, within))).groupBy("event_id").agg(F.array_sort(F.collect_set("other_id")).alias("refs"))
 
 
 def distance_hits(readings: DataFrame, objects: DataFrame, history: DataFrame, leaf: Distance) -> DataFrame:

@@ -100,7 +100,7 @@ def cover(objects: DataFrame, size: float = 0.1) -> DataFrame:
     y, x = F.col("cell_y") * size, F.col("cell_x") * size
     corners = [(y, x), (y, x + size), (y + size, x + size), (y + size, x)]
     ring = F.array(*[F.struct(a[0].alias("y1"), a[1].alias("x1"), b[0].alias("y2"), b[1].alias("x2")) for a, b in zip(corners, [*corners[1:], corners[0]], strict=True)])
-    return filed.withColumn("cell", ring).filter(object_intersects("parts", "cell")).select("object_id", "layer_id", "cell_y", "cell_x")
+    return filed.withColumn("cell", ring).filter(F.expr(object_intersects("parts", "cell"))).select("object_id", "layer_id", "cell_y", "cell_x")
 
 
 def cells_to_geojson(cells: DataFrame, size: float = 0.1) -> DataFrame:

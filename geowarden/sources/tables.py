@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from geowarden.sources.geojson import with_boxes
 
-#: Corners of an object around its centre: latitude, longitude.
-CORNERS = ((-0.006, -0.008), (-0.004, 0.007), (0.007, 0.005), (0.005, -0.006))
+#: Corners of an object around its centre: latitude, longitude; readings lie on a grid of 0.0001, and none on a border.
+CORNERS = ((-0.00613, -0.00817), (-0.00419, 0.00723), (0.00731, 0.00511), (0.00529, -0.00637))
 
 
 def telemetry(spark: SparkSession, sf_dir: str, layers: bool = False, spread: bool = False) -> DataFrame:
