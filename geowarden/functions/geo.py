@@ -126,3 +126,16 @@ def object_intersects(parts: str, a: str) -> str:
 def object_within(parts: str, a: str) -> str:
     """An object lies within a convex area: all its vertices do."""
     return (f"forall({parts}, p -> forall(p.edges, e -> {_inside('e.y1', 'e.x1', a, 'g')} AND {_inside('e.y2', 'e.x2', a, 'h')}))")
+
+
+def place_in(shape: str | None, lat: str, lon: str, meters: float, y: str, x: str) -> Column:
+    """A place (columns ``y, x``) lies in the area around another: plain arithmetic unless the area is a circle."""
+    if shape is None or meters <= 0:
+        return F.expr(f"{y} = {lat} AND {x} = {lon}")
+    if shape == "bbox":
+        high = f"{meters / DEGREE_M!r}D"
+        return F.expr(f"abs({y} - {lat}) <= {high} AND abs({x} - {lon}) <= {high} / greatest(cos(radians({lat})), 1e-6D)")
+    # A regular 12-gon holds all within cos(15 degrees) = 0.966 of its radius and nothing beyond it.
+    d = haversine(F.col(lat), F.col(lon), F.col(y), F.col(x))
+    exact = with_areas({"mine": circle_area(lat, lon, meters)}, _inside(y, x, "mine", "g"))
+    return F.when(d > 1.001 * meters, False).when((d < 0.96 * meters) & (F.abs(lat) < 80), True).otherwise(exact)

@@ -64,13 +64,20 @@ def device_hits(readings: DataFrame, history: DataFrame, leaf: NearDevices, comp
         readings = readings.filter(F.col("device_id").isin(list(leaf.only)))
     wide = leaf.op in ("nintersects", "nnear")
     pairs = candidates.near_devices(readings, history, leaf.area.meters, leaf.every, leaf.refs, wide=wide, same=compat)
-    areas = {"mine": geo.area(leaf.area.shape, "lat", "lon", leaf.area.meters), "theirs": geo.area(leaf.other.shape, "other_lat", "other_lon", leaf.other.meters)}
-    meets = geo.areas_intersect("mine", "theirs")
-    if leaf.area.shape is None:
-        within = geo.area_contains("theirs", "mine") if leaf.other.shape else meets
+    return pairs.filter(_peer_test(leaf)).groupBy("event_id").agg(F.array_sort(F.collect_set("other_id")).alias("refs"))
+
+
+def _peer_test(leaf: NearDevices) -> Column:
+    """Two areas are compared edge by edge; where one side is a place, all six operators ask whether the other holds it."""
+    mine, other = leaf.area, leaf.other
+    if mine.shape and other.shape:
+        areas = {"mine": geo.area(mine.shape, "lat", "lon", mine.meters), "theirs": geo.area(other.shape, "other_lat", "other_lon", other.meters)}
+        return geo.with_areas(areas, _negated(leaf.op, geo.areas_intersect("mine", "theirs"), geo.area_contains("mine", "theirs")))
+    if other.shape:
+        held = geo.place_in(other.shape, "other_lat", "other_lon", other.meters, "lat", "lon")
     else:
-        within = geo.area_contains("mine", "theirs")
-    return pairs.filter(geo.with_areas(areas, _negated(leaf.op, meets, within))).groupBy("event_id").agg(F.array_sort(F.collect_set("other_id")).alias("refs"))
+        held = geo.place_in(mine.shape, "lat", "lon", mine.meters, "other_lat", "other_lon")
+    return ~held if leaf.op in ("nintersects", "nnear", "nin") else held
 
 
 def distance_hits(readings: DataFrame, objects: DataFrame, history: DataFrame, leaf: Distance) -> DataFrame:
