@@ -126,7 +126,7 @@ def test_stores_and_searches(spark, polygon):
     assert [r.device_id for r in stores.near_devices(devices, 42.9316717, -72.2846072, 1e9).collect()] == ["a"]
     assert stores.delete(devices, ["a"], "device_id").count() == 1
     objects = read_objects(polygon)
-    assert stores.add(objects, objects, "object_id").count() == 1 and stores.near_objects(objects, "", 42.9283436, -72.2757292, 500.0).count() == 0
+    assert stores.add(objects, objects, "object_id").count() == 1 and stores.near_objects(objects, "", 42.9283436, -72.2757292, 400.0).count() == 0
     assert stores.near_objects(objects, "", 42.9240, -72.2795, 0.0).count() == 1
     places = spark.createDataFrame([(1, 42.9316717, -72.2846072)], "place_id int, place_lat double, place_lon double")
     assert stores.near_devices_of(places, devices, 200.0).count() == 1
@@ -171,7 +171,7 @@ def test_geojson_kinds_and_cover(spark):
     assert (got["polygon"].min_lat, got["polygon"].max_lon, got["polygon"].center_lat) == (0.0, 101.0, 0.5)
     cells = cover(objects, 0.25).groupBy("object_id").count()
     n = {r["object_id"]: r["count"] for r in cells.collect()}
-    assert n["polygon"] == 25 and n["holed"] == 25 and n["point"] == 1 and n["line"] == 13 and n["multi"] == 2
+    assert n["polygon"] == 25 and n["holed"] == 25 and n["point"] == 1 and n["line"] == 13 and n["multi"] == 5
     assert len(json.loads(cells_to_geojson(cover(objects, 0.25).filter("object_id = 'polygon'"), 0.25).first().geojson)["features"]) == 25
     engine = Engine(spark, objects)
     engine.add_rule("device IN polygon(holed)", "in")
