@@ -29,7 +29,7 @@ SCALE = 1 << 20
 GRID = 16
 STEPS = 6
 #: Share of a group that the estimate rests on, and rows below which all groups of a language are one.
-HALF = 0.75
+HALF = 0.5
 SMALL = 40
 #: Spread below which a component is never taken to vary: log characters a word, log symbols a
 #: word, repeated lines a line, repeated words a word.
@@ -144,7 +144,7 @@ def outliers(stats: DataFrame, cut: float = CUT) -> DataFrame:
 
     Rows of one language whose source has fewer than SMALL rows are estimated together.  Null
     languages and sources are groups of their own.  The first estimate of a group rests on the
-    rows nearest to its medians on the grid, so that a quarter of junk doesn't move it.
+    rows nearest to its medians on the grid, so that junk of less than half a group doesn't move it.
     """
     keyed = stats.withColumn("lang", F.coalesce("lang", F.lit("\x00"))).withColumn("source", F.coalesce("source", F.lit("\x00")))
     some = keyed.filter("v is not null").select("lang", "source", "v")

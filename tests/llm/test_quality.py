@@ -77,3 +77,15 @@ def test_estimate_is_a_fixed_point_of_the_method(spark):
         inverse = np.linalg.inv(cov)
     x = np.sort(np.einsum("ni,ij,nj->n", v - mean, inverse, v - mean))
     assert np.allclose(x, d, rtol=1e-3, atol=1e-6)
+
+
+def test_a_third_of_identical_junk_is_rejected(spark):
+    """A source may be junk for more than a quarter; labelled clean texts of it stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang = 'en'")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").filter("quality = 1").select("doc_id")
+    good = [r for r in docs.join(labels, "doc_id", "left_semi").orderBy("doc_id").limit(400).collect() if (n := brute(r.text))[0] >= 50 and 100 * n[4] <= 50 * n[0]][:200]
+    junk = " ".join(f"{w}|#{k}" for k, w in enumerate(good[0].text.split()[:80]))
+    rows = [(r.doc_id, r.text, "en", "s") for r in good] + [(-1 - k, junk, "en", "s") for k in range(100)]
+    got = judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(good) == 200 and not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if r.kept} == {r.doc_id for r in good}
