@@ -13,7 +13,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import body, slices
+from .common import body, resident, slices
 
 #: Distinct words and ids that a worker remembers; beyond either it starts afresh.
 STORE_WORDS = 300_000
@@ -250,7 +249,7 @@ class Bpe:
             return [x for p in parts if p for x in ([b" " + p] if p in self.special else self._pieces(p))]
         if text.isascii():
             return _ASCII.findall(text.lower())
-        letters = text.decode()
+        letters = text.decode(errors="replace")
         if max(letters) < "ɐ":
             return [w.encode() for w in _LATIN.findall(unicodedata.normalize("NFC", letters).lower())]
         letters = self.library.normalizer.normalize_str(letters)
@@ -312,9 +311,8 @@ class Bpe:
         return b" ".join(map(self._texts.__getitem__, words.tolist()))
 
 
-@lru_cache(maxsize=2)
 def bpe(path: str) -> Bpe:
-    return Bpe(path)
+    return resident(f"bpe {path}", lambda: Bpe(path))
 
 
 def vocabulary(name: str) -> str:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 from uuid import uuid4
 
 import numpy as np
@@ -37,6 +39,38 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_held: list[Any] = [None, None]
+
+
+def trim() -> None:
+    """Gives freed memory of a Python worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def resident(key: str | None = None, make: Callable[[], Any] | None = None) -> Any:
+    """What a worker keeps between tasks: one operator's tables at a time, under ``key``; another key (or none) frees them."""
+    if _held[0] != key:
+        _held[:] = [None, None]
+        trim()
+        _held[:] = [key, make() if make else None]
+    return _held[1]
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that needs no tables: other operators' go first, and memory is given back at its end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that the binary ``column`` of a piece holds about ``limit`` bytes (one row at least)."""
     ends = np.cumsum(sizes(batch.column(column)))

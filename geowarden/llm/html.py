@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, slices
+from .common import body, slices, tidy
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split())
@@ -287,4 +287,4 @@ def main_texts(pages: DataFrame, html: str = "html") -> DataFrame:
                 texts = [extract(x.decode(errors="replace")) if x else "" for x in piece.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*piece.columns[:2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), body(html)).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), body(html)).mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

@@ -1,44 +1,54 @@
 """Quality rules: fixed limits, then robust multivariate outliers per language and source.
 
-Each text gives a vector of transformed statistics.  For every (language, source) the minimum
-covariance determinant is approached by concentration steps over *all* rows: mean and covariance
-of the half with the smallest distances, distances anew, and so on.  Rows with a large
-Mahalanobis distance from the last estimate are rejected.
-
-Everything a step needs is an aggregate: vectors are fixed-point integers and their sums decimals,
-so results don't depend on the order of rows; the half is found on a fixed grid of distances, so
-no group is ever gathered.  Estimates are one small row a group.
+Each text gives a vector of transformed statistics: logarithms of characters, punctuation and
+symbols, capitals and short words a word, shrunk towards usual rates by so many words that short
+texts do not scatter more than long ones.  For every (language, source) the minimum covariance
+determinant (MCD) is estimated over all distinct vectors of texts that pass the limits (copies of
+a text would draw the estimate to it): concentration steps from several seeded starts, each until
+the determinant falls no more, the smallest determinant, the factor that makes it consistent for
+normal data, and one reweighting.  Rows with a large Mahalanobis distance are rejected.
+
+Steps run on counts: vectors fall into cells of a fixed fine grid, and a cell keeps their number
+and exact first and second moments (fixed-point integers, so the order of rows does not matter).
+Cells of a group are bounded by the grid, whatever the number of rows, and one task takes them.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from math import exp, log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, durable, slices
+from .common import body, durable, slices, tidy
 
 FEATURES = 4
-#: Fixed-point scale of a vector's components, and steps of the grid of distances for each doubling.
+#: Fixed-point scale of a vector's components, and bits below a cell's border for each: cells are 1/256, 1/32, 1/16 and 1/64 wide.
 SCALE = 1 << 20
-GRID = 16
-STEPS = 6
-#: Share of a group that the estimate rests on, and rows below which all groups of a language are one.
-HALF = 0.5
-SMALL = 40
-#: Spread below which a component is never taken to vary: log characters a word, log symbols a
-#: word, repeated lines a line, repeated words a word.
-FLOOR = (0.10, 0.05, 0.15, 0.15)
-#: Squared distance from which a row is rejected: the 0.99999 quantile of chi-squared with 4 degrees of freedom.
-CUT = 28.5
+SHIFT = (12, 15, 16, 14)
+#: Words of usual text that are added to each text, and what these hold a word: characters, punctuation, capitals, short words.
+PRIOR, USUAL = 200, (5.0, 0.15, 0.085, 0.35)
+#: Bytes up to which a word is short.
+SHORT = 3
+#: Seeded starts of a group, and those that are followed to the end after two steps each.
+STARTS, FOLLOWED = 24, 6
+#: Distinct vectors below which a group has no estimate (five for each component); the limits alone decide there.
+LEAST = 20
+#: Share of a component's variance that is added to covariances: only there to keep them invertible.
+RIDGE = 1e-4
+#: Chance for a row of normal data to be rejected: about one in the largest corpora.
+TAIL = 1e-10
 #: Groups up to which estimates are joined by broadcast (about 0.3 kB each).
 BROADCAST_GROUPS = 2_000
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_CAPITALS = bytes(range(65, 91))
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _repeats(words: list[bytes]) -> int:
@@ -60,66 +70,170 @@ def _repeats(words: list[bytes]) -> int:
     return int(hit.sum())
 
 
-def measure(text: bytes | None) -> tuple[int, int, int, int, int, int]:
-    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines`` of a whole text."""
+def measure(text: bytes | None) -> tuple[int, ...]:
+    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``, and punctuation, capitals and short words of a whole text."""
     if not text:
-        return 0, 0, 0, 0, 0, 0
+        return (0,) * 8
     words = text.split()
-    chars = sum(map(len, words)) if text.isascii() else sum(map(len, text.decode().translate(_SPACES).split(" ")))
+    chars = sum(map(len, words)) if text.isascii() else sum(map(len, text.decode(errors="replace").translate(_SPACES).split(" ")))
     symbols = len(_SYMBOLS.findall(text))
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
-    return len(words), chars, symbols, len(lines) - len(set(lines)), _repeats(words), len(lines)
+    short = int((np.fromiter(map(len, words), dtype=np.int64, count=len(words)) <= SHORT).sum())
+    marks, capitals = (len(text) - len(text.translate(None, x)) for x in (_PUNCTUATION, _CAPITALS))
+    return len(words), chars, symbols, len(lines) - len(set(lines)), _repeats(words), marks, capitals, short
 
 
 _SPACES = dict.fromkeys(range(9, 14), " ")
 
 
-def _vector(n: int, chars: int, symbols: int, dup: int, rep: int, lines: int) -> list[int] | None:
+def _vector(n: int, chars: int, marks: int, capitals: int, short: int) -> list[int] | None:
     if not n:
         return None
-    x = (np.log(max(chars, 1) / n), np.log1p(symbols / n), dup / max(lines, 1), rep / n)
-    return [round(float(v) * SCALE) for v in x]
+    return [round(log((x + PRIOR * u) / (n + PRIOR)) * SCALE) for x, u in zip((chars, marks, capitals, short), USUAL, strict=True)]
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, lang, source``, the five counts with n_words, and the fixed-point vector ``v`` (null without words)."""
+    """``doc_id, lang, source``, the five counts and the fixed-point vector ``v`` (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, 3):
                 rows = [measure(t) for t in piece.column(3).to_pylist()]
                 counts = [pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:5]]
-                yield pa.RecordBatch.from_arrays([*piece.columns[:3], *counts, pa.array([_vector(*r) for r in rows], pa.list_(pa.int64()))], ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "v"])
+                yield pa.RecordBatch.from_arrays([*piece.columns[:3], *counts, pa.array([_vector(r[0], r[1], *r[5:]) for r in rows], pa.list_(pa.int64()))], ["doc_id", "lang", "source", *_COUNTS, "v"])
 
     named = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
-    return docs.select(F.col("doc_id").cast("long"), *named, body(text)).mapInArrow(run, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, v array<long>")
-
-
-def _moments() -> list[Column]:
-    v = [F.col("v")[k].cast("decimal(20,0)") for k in range(FEATURES)]
-    first = [F.sum(x).alias(f"s{k}") for k, x in enumerate(v)]
-    second = [F.sum((v[i] * v[j]).cast("decimal(38,0)")).alias(f"s{i}{j}") for i in range(FEATURES) for j in range(i, FEATURES)]
-    return [F.count("*").alias("n"), *first, *second]
-
-
-def _estimates(sums: DataFrame) -> DataFrame:
-    """Mean and inverse covariance of each group from its sums."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for r in f.to_dict("records"):
-                n = int(r["n"])
-                s = [int(r[f"s{k}"]) for k in range(FEATURES)]
-                cov = np.empty((FEATURES, FEATURES))
-                for i in range(FEATURES):
-                    for j in range(i, FEATURES):
-                        cov[i, j] = cov[j, i] = (n * int(r[f"s{i}{j}"]) - s[i] * s[j]) / (n * n * SCALE * SCALE)
-                cov += np.diag(np.square(FLOOR))
-                rows.append((r["lang"], r["source"], [x / n / SCALE for x in s], np.linalg.inv(cov).ravel().round(9).tolist()))
-            yield pd.DataFrame(rows, columns=["lang", "source", "mean", "inverse"])
-
-    return sums.mapInPandas(run, "lang string, source string, mean array<double>, inverse array<double>")
+    return docs.select(F.col("doc_id").cast("long"), *named, body(text)).mapInArrow(tidy(run), f"doc_id long, lang string, source string, {', '.join(f'{c} long' for c in _COUNTS)}, v array<long>")
+
+
+# -- the estimate of one group --------------------------------------------------------------------
+
+
+def _chi(x: float, half: int) -> float:
+    """Distribution function of chi-squared with 2 * half degrees of freedom."""
+    term, total = 1.0, 1.0
+    for k in range(1, half):
+        term *= x / 2 / k
+        total += term
+    return 1 - exp(-x / 2) * total
+
+
+@lru_cache(maxsize=None)
+def quantile(tail: float, half: int = FEATURES // 2) -> float:
+    """What chi-squared with 2 * half degrees of freedom exceeds with chance ``tail``."""
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        term, total = 1.0, 1.0
+        for k in range(1, half):
+            term *= middle / 2 / k
+            total += term
+        low, high = (middle, high) if exp(-middle / 2) * total > tail else (low, middle)
+    return high
+
+
+def consistency(share: float) -> float:
+    """Factor by which the covariance of the nearest ``share`` of normal rows has to grow."""
+    return share / _chi(quantile(1 - share), FEATURES // 2 + 1) if share < 1 else 1.0
+
+
+class Atoms:
+    """Cells of a group: numbers of rows, means, and scatter within each."""
+
+    def __init__(self, n: np.ndarray, mean: np.ndarray, scatter: np.ndarray) -> None:
+        self.n, self.mean, self.scatter = n.astype(np.float64), mean, scatter
+        every = self.estimate(self.n, np.zeros(mean.shape[1]))[1]
+        self.ridge = RIDGE * np.diag(every) + 1e-12
+
+    def estimate(self, weight: np.ndarray, ridge: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and covariance of the atoms with so many rows of each."""
+        total = weight.sum()
+        mean = weight @ self.mean / total
+        apart = self.mean - mean
+        share = weight / self.n
+        cov = ((apart * weight[:, None]).T @ apart + np.tensordot(share, self.scatter, 1)) / total
+        return mean, cov + np.diag(self.ridge if ridge is None else ridge)
+
+    def distance(self, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+        apart = self.mean - mean
+        return np.einsum("ij,jk,ik->i", apart, np.linalg.inv(cov), apart)
+
+    def nearest(self, distance: np.ndarray, rows: int) -> np.ndarray:
+        """Weights of the ``rows`` nearest rows; of the last atom only as many as are wanted."""
+        order = np.argsort(distance, kind="stable")
+        upto = np.cumsum(self.n[order])
+        weight = np.empty(len(order))
+        weight[order] = np.clip(rows - (upto - self.n[order]), 0, self.n[order])
+        return weight
+
+
+def mcd(atoms: Atoms, seed: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+    """Reweighted MCD: mean, covariance, and the logarithm of the raw determinant."""
+    rows = int(atoms.n.sum())
+    p = atoms.mean.shape[1]
+    half = (rows + p + 1) // 2
+    rng = np.random.default_rng(seed)
+
+    def steps(weight: np.ndarray, most: int) -> tuple[float, np.ndarray]:
+        """Concentration from a subset until the determinant falls no more."""
+        det = np.inf
+        for k in range(most):
+            mean, cov = atoms.estimate(weight)
+            now = np.linalg.slogdet(cov)[1]
+            if k > 1 and now >= det - 1e-12:  # the start itself is smaller than half of the rows
+                break
+            det, best = now, weight
+            weight = atoms.nearest(atoms.distance(mean, cov), half)
+        return det, best
+
+    def start(k: int) -> np.ndarray:
+        weight = np.zeros(len(atoms.n))
+        if k:
+            weight[rng.choice(len(weight), min(p + 1, len(weight)), replace=False)] = 1.0
+            return weight
+        order = [np.argsort(x, kind="stable") for x in atoms.mean.T]
+        middle = np.array([x[o][np.searchsorted(np.cumsum(atoms.n[o]), rows / 2)] for x, o in zip(atoms.mean.T, order, strict=True)])
+        return atoms.nearest((np.square(atoms.mean - middle) / (atoms.ridge / RIDGE)).sum(axis=1), half)
+
+    tried = sorted((steps(start(k), 3) for k in range(STARTS)), key=lambda x: x[0])[:FOLLOWED]
+    det, weight = min((steps(w, 200) for _, w in tried), key=lambda x: x[0])
+    mean, cov = atoms.estimate(weight)
+    near = atoms.distance(mean, cov * consistency(half / rows)) <= quantile(0.025)
+    mean, cov = atoms.estimate(np.where(near, atoms.n, 0.0)) if near.any() else (mean, cov)
+    return mean, cov * consistency(0.975), det
+
+
+_PAIRS = [(i, j) for i in range(FEATURES) for j in range(i, FEATURES)]
+
+
+def _estimate(cells: pa.Table) -> pa.Table:
+    """Mean and inverse covariance of one group from its cells; none for a group of few rows."""
+    column = lambda c: cells.column(c).to_numpy().astype(np.float64)
+    n = column("n")
+    names = {c: cells.column(c).slice(0, 1) for c in ("lang", "source")}
+    if n.sum() < LEAST:
+        return pa.table(names | {"mean": pa.array([None], pa.list_(pa.float64())), "inverse": pa.array([None], pa.list_(pa.float64()))})
+    order = np.lexsort([column(f"c{k}") for k in range(FEATURES)])
+    first = np.stack([column(f"s{k}") for k in range(FEATURES)], axis=1)
+    corner = np.stack([(column(f"c{k}") + 0.5) * (1 << SHIFT[k]) for k in range(FEATURES)], axis=1)
+    scatter = np.empty((len(n), FEATURES, FEATURES))
+    for i, j in _PAIRS:
+        scatter[:, i, j] = scatter[:, j, i] = column(f"s{i}{j}") - first[:, i] * first[:, j] / n
+    mean, cov, _ = mcd(Atoms(n[order], ((corner + first / n[:, None]) / SCALE)[order], (scatter / SCALE**2)[order]))
+    return pa.table(names | {"mean": pa.array([mean.tolist()]), "inverse": pa.array([np.linalg.inv(cov).ravel().tolist()])})
+
+
+# -- all groups -----------------------------------------------------------------------------------
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Cells of every group: distinct vectors, and sums and products of what lies between them and the cell's middle."""
+    v = [F.col("v")[k] for k in range(FEATURES)]
+    cell = [F.shiftright(x, SHIFT[k]) for k, x in enumerate(v)]
+    off = [x - F.shiftleft(c, SHIFT[k]) - (1 << SHIFT[k] - 1) for k, (x, c) in enumerate(zip(v, cell, strict=True))]
+    some = rows.select("lang", "source", "v").distinct().select("lang", "source", *[c.alias(f"c{k}") for k, c in enumerate(cell)], *[x.alias(f"r{k}") for k, x in enumerate(off)])
+    sums = [F.sum(f"r{k}").alias(f"s{k}") for k in range(FEATURES)] + [F.sum(F.col(f"r{i}") * F.col(f"r{j}")).alias(f"s{i}{j}") for i, j in _PAIRS]
+    return some.groupBy("lang", "source", *[f"c{k}" for k in range(FEATURES)]).agg(F.count("*").alias("n"), *sums)
 
 
 def _distance() -> Column:
@@ -131,68 +245,40 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def _grid(distance: Column) -> Column:
-    return F.floor(F.log2(distance + F.lit(2.0**-20)) * GRID)
-
-
-def _with(rows: DataFrame, table: DataFrame, small: bool) -> DataFrame:
-    return rows.join(F.broadcast(table) if small else table, ["lang", "source"])
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def outliers(stats: DataFrame, cut: float = CUT) -> DataFrame:
-    """``stats`` with ``distance`` (squared; null without words) and ``outlier``.
+def outliers(stats: DataFrame, tail: float = TAIL) -> DataFrame:
+    """``stats`` (without lang and source) with ``distance`` (squared; null without words or estimate) and ``outlier``.
 
-    Rows of one language whose source has fewer than SMALL rows are estimated together.  Null
-    languages and sources are groups of their own.  The first estimate of a group rests on the
-    rows nearest to its medians on the grid, so that junk of less than half a group doesn't move it.
+    Estimates rest on the distinct vectors of rows that pass the limits.  Null languages and
+    sources are groups of their own.  In groups of fewer than LEAST such vectors nothing is an outlier.
     """
     keyed = stats.withColumn("lang", F.coalesce("lang", F.lit("\x00"))).withColumn("source", F.coalesce("source", F.lit("\x00")))
-    some = keyed.filter("v is not null").select("lang", "source", "v")
-    size = durable(some.groupBy("lang", "source").count().select("lang", "source", F.when(F.col("count") < SMALL, "").otherwise(F.col("source")).alias("group")))
-    groups = size.count()
-    small = groups <= BROADCAST_GROUPS
-    grouped = durable(_with(some, size, small).select("lang", F.col("group").alias("source"), "v"))
-
-    # Medians by component on a fixed grid, then the distance from them in units of the floors.
-    cell = grouped.select("lang", "source", F.posexplode("v").alias("k", "x")).withColumn("x", F.floor(F.col("x") / (SCALE // 256)))
-    counts = cell.groupBy("lang", "source", "k", "x").count()
-    median = _quantile(counts, ["lang", "source", "k"], "x", 0.5).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("m"))
-    first = median.select("lang", "source", F.array(*[(F.col("m")[F.lit(k)] + 0.5) / 256 for k in range(FEATURES)]).alias("mean"), F.array(*[F.lit(float(i == j) / FLOOR[i] ** 2) for i in range(FEATURES) for j in range(FEATURES)]).alias("inverse"))
-    estimate = durable(first)
-    for _ in range(STEPS):
-        near = _with(grouped, estimate, small).select("lang", "source", "v", _grid(_distance()).alias("cell"))
-        limit = _quantile(near.groupBy("lang", "source", "cell").count(), ["lang", "source"], "cell", HALF).withColumnRenamed("cell", "limit")
-        half = _with(near, limit, small).filter("cell <= limit")
-        estimate = durable(_estimates(half.groupBy("lang", "source").agg(*_moments())))
-    last = size.join(estimate.withColumnRenamed("source", "group"), ["lang", "group"]).select("lang", "source", "mean", "inverse")
-    judged = keyed.join(F.broadcast(last) if small else last, ["lang", "source"], "left")
-    distance = F.when(F.col("v").isNotNull(), _distance())
-    return judged.select(*[c for c in stats.columns if c not in ("lang", "source")], distance.alias("distance"), F.coalesce(distance > cut, F.lit(False)).alias("outlier"))
-
-
-def _quantile(counts: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
-    """The smallest grid value up to which at least ``share`` of a group's rows lie; groups have a bounded number of values."""
-    w = Window.partitionBy(*by).orderBy(value)
-    total = Window.partitionBy(*by)
-    return counts.withColumn("up_to", F.sum("count").over(w)).withColumn("all", F.sum("count").over(total)).filter(F.col("up_to") >= F.col("all") * share).groupBy(*by).agg(F.min(value).alias(value))
-
-
-def judge(docs: DataFrame, text: str = "text", cut: float = CUT) -> DataFrame:
+    cells = _cells(keyed.filter(F.col("v").isNotNull() & ~base_failed()))
+    found = durable(cells.groupBy("lang", "source").applyInArrow(_estimate, "lang string, source string, mean array<double>, inverse array<double>"))
+    small = found.count() <= BROADCAST_GROUPS
+    judged = keyed.join(F.broadcast(found) if small else found, ["lang", "source"], "left")
+    distance = F.when(F.col("v").isNotNull() & F.col("mean").isNotNull(), _distance())
+    return judged.select(*[c for c in stats.columns if c not in ("lang", "source")], distance.alias("distance"), F.coalesce(distance > quantile(tail), F.lit(False)).alias("outlier"))
+
+
+def judge(docs: DataFrame, text: str = "text", tail: float = TAIL) -> DataFrame:
     """``doc_id``, the counts, ``base_failed``, ``kept`` and ``distance`` for each row of ``docs``.
 
     A null text has no words and fails.  Rows that repeat and null doc_ids are judged alike; an
-    empty table gives no rows; columns ``lang`` and ``source`` may be missing or null.
+    empty table gives no rows; columns ``lang`` and ``source`` may be missing or null.  Bytes that
+    are no UTF-8 count as U+FFFD.
     """
-    stats = durable(statistics(docs, text))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    found = outliers(stats, cut)
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.col("outlier")).alias("kept"), "distance")
+    found = outliers(durable(statistics(docs, text)), tail)
+    return found.select("doc_id", *_COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~F.col("outlier")).alias("kept"), "distance")
 
 
 def keep_good(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that judge() keeps, all columns."""
+    """The rows of ``docs`` that judge() keeps, all columns, whatever their names; rows alike in text, language and source share a verdict."""
     given = [F.col(c).cast("string") for c in ("lang", "source") if c in docs.columns]
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col(text), F.array(*given) if given else F.lit(0))
-    good = judge(docs.withColumn("doc_id", key), text, **how).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    keyed = docs.withColumn("_row", key)
-    return keyed.join(good, keyed["_row"] == good["_kept"], "left_semi").drop("_row")
+    key = F.xxhash64(F.lit(11), F.col(text), *given, *[c.isNull() for c in given])
+    good = judge(docs.select(key.alias("doc_id"), *[F.col(c) for c in ("lang", "source") if c in docs.columns], F.col(text).alias("text")), **how).filter("kept").select(F.col("doc_id").alias("kept_key")).distinct()
+    keyed = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return keyed.join(good, keyed["key"] == good["kept_key"], "left_semi").select("row.*")

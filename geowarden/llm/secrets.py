@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, slices
+from .common import body, slices, tidy
 
 KINDS = ("assign", "access", "hex")
 #: Kinds of the method's own: prefix and length of what follows, its last six characters a checksum.
@@ -92,7 +92,7 @@ def spans(text: bytes) -> list[tuple[int, str, int]]:
         return found
     places, at, seen = {}, 0, 0
     for p in sorted({x for s, _, e in found for x in (s, e)}):
-        seen += len(text[at:p].decode())
+        seen += len(text[at:p].decode(errors="replace"))
         places[p], at = seen, p
     return [(places[s], k, places[e]) for s, k, e in found]
 
@@ -116,7 +116,7 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
                 counts = [pa.array([sum(x[1] == k for x in b) for b in base], pa.int64()) for k in KINDS]
                 yield pa.RecordBatch.from_arrays([piece.column(0), *counts, pa.array([sha256(_joined(b).encode()).hexdigest() for b in base]), pa.array(map(_joined, every), pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), body(text)).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), body(text)).mapInArrow(tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(text: bytes) -> bytes:
@@ -137,8 +137,8 @@ def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, at):
-                clean = pa.array([None if t is None else redact(t).decode() for t in piece.column(at).to_pylist()], pa.string())
+                clean = pa.array([None if t is None else redact(t).decode(errors="replace") for t in piece.column(at).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([clean if k == at else c for k, c in enumerate(piece.columns)], piece.schema.names)
 
     schema = docs.schema
-    return docs.withColumn(text, body(text)).mapInArrow(run, schema)
+    return docs.withColumn(text, body(text)).mapInArrow(tidy(run), schema)

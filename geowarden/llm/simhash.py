@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, durable, slices
+from .common import body, durable, slices, tidy
 from .components import components
 
 BITS = 2
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, width: int = 3, text: str = "text") -> DataFra
             for piece in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fingerprints_of(piece.column(1).to_pylist(), width))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), body(text)).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), body(text)).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _blocks(fp: str) -> list[Column]:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import body, text_bytes
+from .common import body, resident, text_bytes, trim
 
 WINDOW = 35
 #: Text bytes of a part, and values that one range of hashes holds, about.
@@ -146,6 +146,8 @@ def _ranged(high: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 def _anchors(window: int, block: int, bits: int):
     def send(group: pa.Table) -> pa.Table:
+        resident()
+        trim()
         part = _Part(group.column("text").to_pylist())
         number = group.column("part")[0].as_py()
         rows: dict[str, list] = {"part": [], "bin": [], "probes": [], "n": [], "is_block": [], "again": []}
@@ -189,6 +191,7 @@ def _hits(group: pa.Table) -> np.ndarray:
 
 def _windows(window: int, block: int, bits: int):
     def send(texts: pa.Table, found: pa.Table) -> pa.Table:
+        trim()
         rows: dict[str, list] = {"part": [], "bin": [], "full": [], "again": []}
         if texts.num_rows and found.num_rows:
             part = _Part(texts.column("text").to_pylist())
@@ -253,6 +256,7 @@ def _removal(window: int, block: int, want: str):
         if not texts.num_rows:
             none = pa.array([], pa.int64())
             return pa.table({"row": texts.column("row").slice(0, 0), "n_words": none, "n_removed": none, want: pa.array([], pa.string())})
+        trim()
         raw = texts.column("text").to_pylist()
         part = _Part(raw)
         gone = np.zeros(len(part.hash), dtype=bool)
@@ -276,7 +280,7 @@ def _removal(window: int, block: int, want: str):
             mine = gone[a : a + len(ws)]
             removed.append(int(mine.sum()))
             if want == "text":
-                out.append(None if t is None else _cut(t, ws, mine).decode() if removed[-1] else t.decode())
+                out.append(None if t is None else (_cut(t, ws, mine) if removed[-1] else t).decode(errors="replace"))
             else:
                 out.append(sha256(b" ".join([w for w, x in zip(ws, mine.tolist(), strict=True) if not x] if removed[-1] else ws)).hexdigest())
         return pa.table({"row": texts.column("row"), "n_words": pa.array(part.n), "n_removed": pa.array(removed, pa.int64()), want: pa.array(out, pa.string())})

@@ -8,15 +8,15 @@ batches of bounded bytes, and only its number of tokens is kept and returned.
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, slices
+from .common import body, resident, slices
 
 BATCH_BYTES = 256 << 10
 #: Distinct pieces that a worker remembers before it starts afresh, and the longest of them.
@@ -27,6 +27,7 @@ _SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 def _library(path: str) -> Callable[[list[str]], list[int]]:
     if path.endswith(".json"):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
@@ -106,9 +107,8 @@ class Counter:
         return out
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return resident(f"counter {path}", lambda: Counter(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text") -> DataFrame:
@@ -123,7 +123,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text
         model = counter(path)
         for batch in batches:
             for piece in slices(batch, 1):
-                texts = [(t or b"").decode() for t in piece.column(1).to_pylist()]
+                texts = [(t or b"").decode(errors="replace") for t in piece.column(1).to_pylist()]
                 n = model.count(texts)
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
