@@ -4,7 +4,8 @@ All rolling word 4-gram hashes of all texts are joined to the positions they hav
 below (a table fixed in this file, a few hundred rows, broadcast).  Every match votes for the
 diagonal ``position in text - position in notice``; diagonals that lie close together are merged,
 so that a few words put in or left out do not break a match; a merged span counts if it holds
-enough of the notice's distinct grams, in a stretch not much longer than the notice.
+enough of the notice's distinct grams, in a stretch not much longer than the notice, and if the
+words themselves, not only their hashes, are enough of the notice's.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ GRAM = 4
 #: many times as long as the notice.
 NEAR, COVER, STRETCH = 3, 0.6, 1.5
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Label and words of telling stretches of well-known notices.
+#: Label and words of well-known notices, whole and as telling stretches of them.
 NOTICES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "you may not use this file except in compliance with the license"),
@@ -35,6 +36,22 @@ NOTICES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("agpl", "gnu affero general public license"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license to view a copy of this license visit http creativecommons org licenses by 4 0"),
+    ("cc-by-nc", "this work is licensed under the creative commons attribution noncommercial 4 0 international license to view a copy of this license visit http creativecommons org licenses by nc 4 0"),
+    ("cc-by-nc-sa", "this work is licensed under the creative commons attribution noncommercial sharealike 4 0 international license to view a copy of this license visit http creativecommons org licenses by nc sa 4 0"),
+    ("cc-by-sa", "this work is licensed under the creative commons attribution sharealike 4 0 international license to view a copy of this license visit http creativecommons org licenses by sa 4 0"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at"),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
 )
 
 
@@ -68,8 +85,12 @@ def _templates(spark: SparkSession) -> DataFrame:
     return table.select("template", "label", "size", "at", F.xxhash64(*parts).alias("h"))
 
 
+def _terms(spark: SparkSession) -> DataFrame:
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({t}, array({', '.join(map(repr, dict.fromkeys(text.split())))}))" for t, (_, text) in enumerate(NOTICES)) + " AS t(template, terms)")
+
+
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, h`` (of doc_id and text), ``label, first, last`` (words of the text) and ``cover`` of every notice found."""
+    """``doc_id, h`` (of doc_id and text), ``label, first, last`` (words of the text), ``cover`` and ``terms`` (the notice's distinct words) of every notice that the grams find."""
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("h"), words(text).alias("words"))
     rolling = split.select("doc_id", "h", F.size("words").alias("n"), F.posexplode(_grams("words")).alias("pos", "g"))
     known = _templates(docs.sparkSession).withColumnRenamed("h", "g")
@@ -80,7 +101,7 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     merged = votes.withColumn("run", F.sum(F.coalesce(apart, F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     found = merged.groupBy("doc_id", "h", "template", "label", "size", "run").agg(F.min("pos").alias("first"), (F.max("pos") + GRAM - 1).alias("last"), F.countDistinct("at").alias("grams"))
     found = found.withColumn("cover", F.col("grams") / (F.col("size") - GRAM + 1))
-    return found.filter((F.col("cover") >= COVER) & (F.col("last") - F.col("first") + 1 <= STRETCH * F.col("size"))).select("doc_id", "h", "label", "first", "last", "cover")
+    return found.filter((F.col("cover") >= COVER) & (F.col("last") - F.col("first") + 1 <= STRETCH * F.col("size"))).join(F.broadcast(_terms(docs.sparkSession)), "template").select("doc_id", "h", "label", "first", "last", "cover", "terms")
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -95,9 +116,12 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     may = low.contains("license") | low.contains("cc")
     none = F.array().cast("array<struct<start:bigint,label:string>>")
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("h"), F.coalesce(may, F.lit(False)).alias("may"), words(text).alias("words"))
-    base = split.select("doc_id", "h", F.size("words").cast("long").alias("n_words"), F.when(F.col("may"), _places("words")).otherwise(none).alias("places"))
-    own = spans(docs, text).groupBy("doc_id", "h").agg(F.collect_set("label").alias("found"), F.max("cover").alias("cover")).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "found", "cover")
+    base = split.select("doc_id", "h", F.size("words").cast("long").alias("n_words"), F.when(F.col("may"), _places("words")).otherwise(none).alias("places"), "words")
+    own = spans(docs, text).groupBy("doc_id", "h").agg(F.collect_set(F.struct("label", "first", "last", "cover", "terms")).alias("spans")).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "spans")
     joined = base.join(own, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")), "left")
+    # A span is a whole notice's only if the words in it are: hashes alone don't decide.
+    right = lambda s: F.size(F.array_intersect(s["terms"], F.slice("words", (s["first"] + 1).cast("int"), (s["last"] - s["first"] + 1).cast("int")))) >= COVER * F.size(s["terms"])
+    joined = joined.withColumn("spans", F.filter("spans", right)).withColumn("found", F.col("spans.label")).withColumn("cover", F.array_max("spans.cover"))
     starts, labels = F.col("places.start"), F.array_distinct(F.col("places.label"))
     empty = F.array().cast("array<string>")
     return joined.select(

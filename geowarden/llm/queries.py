@@ -90,6 +90,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _licenses_sql() -> str:
     words = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     base = " UNION ALL ".join(f"SELECT k, CAST(i - 1 AS BIGINT) AS start, '{label}' AS label FROM d, range(1, len(ws) + 1) t(i) WHERE " + " AND ".join(f"ws[i + {j}] = '{w}'" for j, w in enumerate(phrase.split())) for phrase, label in BASE)
+    terms = ", ".join(f"({t}, [{', '.join(map(repr, dict.fromkeys(text.split())))}])" for t, (_, text) in enumerate(NOTICES))
     grams = ", ".join(f"({t}, '{label}', {len(ws := text.split())}, {i}, '{' '.join(ws[i : i + GRAM])}')" for t, (label, text) in enumerate(NOTICES) for i in range(len(text.split()) - GRAM + 1))
     return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, {words} AS ws FROM documents),
     base AS MATERIALIZED ({base}),
@@ -97,8 +98,9 @@ def _licenses_sql() -> str:
     votes AS (SELECT k, template, label, size, i - 1 AS pos, spot, i - 1 - spot AS diagonal FROM d, range(1, len(ws) - {GRAM - 2}) t(i) JOIN known ON array_to_string(ws[i:i + {GRAM - 1}], ' ') = gram),
     steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w > {NEAR} THEN 1 ELSE 0 END AS apart FROM votes WINDOW w AS (PARTITION BY k, template ORDER BY diagonal, pos)),
     runs AS (SELECT *, sum(apart) OVER (PARTITION BY k, template ORDER BY diagonal, pos ROWS UNBOUNDED PRECEDING) AS run FROM steps),
-    spans AS (SELECT k, label, count(DISTINCT spot) / CAST(size - {GRAM - 1} AS DOUBLE) AS cover, max(pos) + {GRAM} - min(pos) AS reach, size FROM runs GROUP BY k, template, label, size, run),
-    own AS (SELECT * FROM spans WHERE cover >= {COVER} AND reach <= {STRETCH} * size),
+    spans AS (SELECT k, template, label, count(DISTINCT spot) / CAST(size - {GRAM - 1} AS DOUBLE) AS cover, min(pos) AS lo, max(pos) + {GRAM} - min(pos) AS reach, size FROM runs GROUP BY k, template, label, size, run),
+    terms(template, ts) AS (VALUES {terms}),
+    own AS (SELECT s.* FROM spans s JOIN terms USING (template) JOIN d USING (k) WHERE cover >= {COVER} AND reach <= {STRETCH} * size AND len(list_intersect(ts, ws[lo + 1:lo + reach])) >= {COVER} * len(ts)),
     b AS (SELECT k, count(*) AS n, min(start) AS lo, max(start) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY k),
     every AS (SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT k, label FROM base UNION ALL SELECT k, label FROM own) GROUP BY k),
     c AS (SELECT k, max(cover) AS cover FROM own GROUP BY k)

@@ -13,10 +13,12 @@ def split(text):
 def brute(text):
     ws = split(text)
     places = [(i, label) for p, label in BASE for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()]
-    found, cover = set(), 0.0
+    found, cover, at = set(), 0.0, {}
+    for p in range(len(ws) - GRAM + 1):
+        at.setdefault(tuple(ws[p : p + GRAM]), []).append(p)
     for label, notice in NOTICES:
         t = notice.split()
-        votes = sorted((p - a, p, a) for a in range(len(t) - GRAM + 1) for p in range(len(ws) - GRAM + 1) if ws[p : p + GRAM] == t[a : a + GRAM])
+        votes = sorted((p - a, p, a) for a in range(len(t) - GRAM + 1) for p in at.get(tuple(t[a : a + GRAM]), ()))
         runs = []
         for v in votes:
             if not runs or v[0] - runs[-1][-1][0] > NEAR:
@@ -24,7 +26,8 @@ def brute(text):
             runs[-1].append(v)
         for r in runs:
             c = len({a for _, _, a in r}) / (len(t) - GRAM + 1)
-            if c >= COVER and max(p for _, p, _ in r) + GRAM - min(p for _, p, _ in r) <= STRETCH * len(t):
+            low, reach = min(p for _, p, _ in r), max(p for _, p, _ in r) + GRAM - min(p for _, p, _ in r)
+            if c >= COVER and reach <= STRETCH * len(t) and len(set(t) & set(ws[low : low + reach])) >= COVER * len(set(t)):
                 found.add(label)
                 cover = max(cover, c)
     starts, base = [i for i, _ in places], {x for _, x in places}
@@ -43,6 +46,8 @@ def test_notices_with_changes_and_defined_cases(spark):
         None, "", "MIT License", "mit-license, Apache\nLicense CC BY cc by", "gnu general public licence", "GNU General Public License GNU general public license",
         "Permission is hereby granted, free of charge, to all and any person obtaining a copy of", "Permission is hereby granted. " * 3,
         "Redistribution and use in source & binary forms, with or without modification,", "été LICENSE Kmit license", "x " * 5000 + "released under the mit license",
+        *["intro " * 3 + " ".join(w for j, w in enumerate(t.split()) if j % 17 != 5) + " more" for _, t in NOTICES], *[t.replace("software", "programme").replace("4 0", "3 0") for _, t in NOTICES],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-nc-sa/3.0/",
     ]
     schema = "h string, doc_id long, text string, label int"
     rows = [("a", k, t, None) for k, t in enumerate(texts)] + [("b", 2, "MIT License", 1), ("b", None, "apache license", 1)]
