@@ -93,6 +93,21 @@ def body(column: str = "text") -> Column:
     return F.col(column).cast("binary")
 
 
+def row_keys(docs: DataFrame) -> list[Column]:
+    """Two hashes of a row's columns (maps and variants left out); nulls count."""
+    each = [F.col(f"`{f.name}`") for f in docs.schema if not {"map", "variant"} & set(f.dataType.simpleString().replace("<", " ").replace(":", " ").replace(",", " ").split())]
+    flags = [c.isNull() for c in each]
+    return [F.xxhash64(F.lit(k), *each, *flags).alias(f"_k{k}") for k in (1, 2)]
+
+
+def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``group`` of ``groups`` (doc_id, _k1, _k2, group): the one with the smallest doc_id, nulls last, ties by the keys."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")).alias("row")
+    kept = groups.groupBy("group").agg(least).select("row._k1", "row._k2")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_keys(docs))
+    return keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("row.*")
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of all texts: one aggregate of lengths, used to size partitions."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first()["n"])

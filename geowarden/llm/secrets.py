@@ -3,7 +3,7 @@
 One Aho-Corasick run over the lower-cased bytes finds every place where a keyword stands; the full
 expressions are matched at those places only, from left to right, without overlaps within a kind.
 Long hexadecimal runs have no keyword: a byte table and a substring search find them.  Tokens that
-carry a checksum (six base-62 digits of CRC-32) count only if it holds.
+carry a checksum (six base-62 digits of CRC-32, or six Bech32 characters) count only if it holds.
 """
 
 from __future__ import annotations
@@ -23,7 +23,11 @@ from .common import body, slices, tidy
 KINDS = ("assign", "access", "hex")
 #: Kinds of the method's own: prefix and length of what follows, its last six characters a checksum.
 CHECKED = {b"ghp_": 36, b"gho_": 36, b"ghu_": 36, b"ghs_": 36, b"ghr_": 36, b"npm_": 36}
-_ORDER = {k: i for i, k in enumerate((*KINDS, "github", "npm"))}
+#: The same for secret keys in Bech32: prefix, its human-readable part, and kind; all of one case.
+BECH32 = {b"age-secret-key-1": "age", b"nsec1": "nostr"}
+_BECH32 = b"qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+_BECH32_RUN = {True: re.compile(rb"[02-9ac-hj-np-z]+"), False: re.compile(rb"[02-9AC-HJ-NP-Z]+")}
+_ORDER = {k: i for i, k in enumerate((*KINDS, "github", "npm", "age", "nostr"))}
 _ASSIGN = re.compile(rb"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _DIGITS = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -34,7 +38,7 @@ _RUN = b"\x01" * 32
 
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for words, kind in (((b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"), "assign"), ((b"akia",), "access"), (tuple(CHECKED), "checked")):
+    for words, kind in (((b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"), "assign"), ((b"akia",), "access"), (tuple(CHECKED), "checked"), (tuple(BECH32), "bech32")):
         for w in words:
             found.add_word(w.decode(), (kind, len(w)))
     found.make_automaton()
@@ -53,10 +57,21 @@ def checksum(token: bytes) -> bytes:
     return out
 
 
+def bech32(prefix: bytes, data: list[int]) -> int:
+    """The checksum polynomial of Bech32 over a prefix and five-bit values; 1 if the last six are right."""
+    chk = 1
+    for v in (*(c >> 5 for c in prefix), 0, *(c & 31 for c in prefix), *data):
+        top = chk >> 25
+        chk = (chk & 0x1FFFFFF) << 5 ^ v
+        for i, g in enumerate((0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)):
+            chk ^= g if top >> i & 1 else 0
+    return chk
+
+
 def find(text: bytes) -> list[tuple[int, str, int]]:
     """``start, kind, end`` of every secret, in bytes, by start and then kind."""
     out: list[tuple[int, str, int]] = []
-    done = dict.fromkeys(("assign", "access", "checked"), 0)
+    done = dict.fromkeys(("assign", "access", "checked", "bech32"), 0)
     for last, (kind, size) in _KEYWORDS.iter(text.lower().decode("latin-1")):
         at = last + 1 - size
         if at < done[kind]:
@@ -71,6 +86,12 @@ def find(text: bytes) -> list[tuple[int, str, int]]:
                 done[kind] = m.end()
                 if m.end() - at >= 16:
                     out.append((at, kind, m.end()))
+        elif kind == "bech32":
+            head = text[at : at + size]
+            if head in (head.lower(), head.upper()) and (m := _BECH32_RUN[head.islower()].match(text, last + 1)) and m.end() - m.start() == 58 and not text[m.end() : m.end() + 1].isalnum():
+                done[kind] = m.end()
+                if bech32(head.lower()[:-1], [_BECH32.index(c) for c in m[0].lower()]) == 1:
+                    out.append((at, BECH32[head.lower()], m.end()))
         elif (n := CHECKED.get(text[at : at + size])) and (m := _WORD.match(text, at + size)) and m.end() - m.start() == n:
             done[kind] = m.end()
             if checksum(m[0][:-6]) == m[0][-6:]:

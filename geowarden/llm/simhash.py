@@ -3,9 +3,10 @@
 A fingerprint has eight positional bytes.  Two that differ in at most two bits share at least six
 of them, and so share both bytes of at least two of the four neighbouring byte pairs.  The
 inverted index therefore files a fingerprint under the six intersections of two byte pairs (four
-positional bytes each): lists under single bytes would hold N/256 entries each and emit N*N/64
-pairs.  For each candidate pair the shared positional bytes are tallied, pairs below the
-guaranteed six are dropped, and the rest is verified by its differing bits.
+positional bytes each), which is the filter by count of shared pairs worked into the lists: those
+under single bytes would hold N/256 entries each and emit N*N/64 pairs.  For each pair that meets,
+the shared positional bytes are tallied, pairs below the guaranteed six are dropped, and the rest
+is verified by its differing bits.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, durable, slices, tidy
+from .common import body, durable, keep_least, row_keys, slices, tidy
 from .components import components
 
 BITS = 2
@@ -89,15 +90,16 @@ def fingerprints_of(texts: list[bytes | None], width: int = 3) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
 
 
-def fingerprints(docs: DataFrame, width: int = 3, text: str = "text") -> DataFrame:
-    """``doc_id, fp`` for each row; a null or wordless text has fingerprint 0, a null doc_id stays null."""
+def fingerprints(docs: DataFrame, width: int = 3, text: str = "text", keys: list[Column] | None = None) -> DataFrame:
+    """``doc_id, fp`` and the ``keys`` (_k1, _k2) for each row; a null or wordless text has fingerprint 0, a null doc_id stays null."""
+    names = ["_k1", "_k2"] if keys else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fingerprints_of(piece.column(1).to_pylist(), width))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fingerprints_of(piece.column(1).to_pylist(), width)), *piece.columns[2:]], ["doc_id", "fp", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), body(text)).mapInArrow(tidy(run), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), body(text).alias("_text"), *(keys or [])).mapInArrow(tidy(run), ", ".join(f"{c} long" for c in ["doc_id", "fp", *names]))
 
 
 def _blocks(fp: str) -> list[Column]:
@@ -156,7 +158,8 @@ def simhash_groups(docs: DataFrame, width: int = 3, bits: int = BITS, text: str
     return rows.join(known, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their group, all columns; of rows that repeat a doc_id, each stays."""
-    kept = simhash_groups(docs, **how).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
+def keep_one(docs: DataFrame, width: int = 3, bits: int = BITS, text: str = "text") -> DataFrame:
+    """One row of each group of ``docs``, all columns: the one with the smallest doc_id, nulls last; of rows that are repeated whole one stays."""
+    rows = durable(fingerprints(docs, width, text, row_keys(docs)))
+    root = components(links(rows.select("fp").distinct(), bits), "a", "b")
+    return keep_least(docs, rows.join(root, rows["fp"] == root["node"], "left").select("doc_id", "_k1", "_k2", F.coalesce("root", "fp").alias("group")))

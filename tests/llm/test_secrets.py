@@ -2,7 +2,7 @@ import random
 import re
 from hashlib import sha256
 
-from geowarden.llm.secrets import checksum, redact, redact_secrets, scan_secrets, spans
+from geowarden.llm.secrets import bech32, checksum, redact, redact_secrets, scan_secrets, spans
 
 KINDS = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), lambda m: len(m[2]) >= 8),
@@ -24,6 +24,44 @@ def test_base_spans_match_brute_force():
         assert [x for x in spans(text.encode()) if x[1] in ("assign", "access", "hex")] == brute(text), text
 
 
+def bech32_of(prefix, values):
+    """A Bech32 text with its checksum, by trying the method's polynomial from the specification."""
+    letters = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+    rest = bech32(prefix.encode(), values + [0] * 6) ^ 1
+    return prefix + "1" + "".join(letters[v] for v in values + [rest >> 5 * (5 - k) & 31 for k in range(6)])
+
+
+def test_bech32_keys():
+    assert bech32(b"a", [*map("qpzry9x8gf2tvdw0s3jn54khce6mua7l".index, "2uel5l")]) == 1  # the specification's own example
+    rng = random.Random(12)
+    values = [rng.randrange(32) for _ in range(52)]
+    age, nostr = bech32_of("age-secret-key-", values).upper(), bech32_of("nsec", values)
+    assert [k for _, k, _ in spans(f"x {age} y".encode())] == ["age"] and [k for _, k, _ in spans(f"({nostr})".encode())] == ["nostr"]
+    for at in range(6, len(nostr)):
+        changed = nostr[:at] + ("q" if nostr[at] != "q" else "p") + nostr[at + 1 :]
+        assert spans(changed.encode()) == []
+    assert spans((nostr + "q").encode()) == spans((nostr[:20].upper() + nostr[20:]).encode()) == spans(nostr[:-1].encode()) == []
+
+
+def test_planted_among_texts(spark):
+    """Own kinds in whole texts: every planted key is found where it stands, and none of the broken ones."""
+    rng = random.Random(13)
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(120).collect()]
+    alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    rows, want = [], {}
+    for k, t in enumerate(docs):
+        random_part = "".join(rng.choice(alphabet) for _ in range(30))
+        keys = {"github": "ghp_" + random_part + checksum(random_part.encode()).decode(), "npm": "npm_" + random_part + checksum(random_part.encode()).decode(), "nostr": bech32_of("nsec", [rng.randrange(32) for _ in range(52)])}
+        kind = rng.choice(list(keys))
+        token = keys[kind] if k % 3 else keys[kind][:-1] + ("q" if keys[kind][-1] != "q" else "p")
+        at = rng.randrange(len(t or "") + 1)
+        text = f"{(t or '')[:at]} {token} {(t or '')[at:]}"
+        rows.append((k, text))
+        want[k] = [f"{kind}:{at + 1}:{at + 1 + len(token)}"] if k % 3 else []
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.split(":")[0] in ("github", "npm", "age", "nostr")] for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_checksums():
     body = b"a1B2" * 7 + b"zz"
     good = b"ghp_" + body + checksum(body)

@@ -65,4 +65,6 @@ def test_defined_cases(spark):
     assert got == sorted([(5, 3), (3, 3), (3, 3), (None, 9), (9, 9), (7, 7)], key=str)
     assert simhash_groups(spark.createDataFrame([], schema)).count() == 0
     kept = keep_one(spark.createDataFrame(rows, schema))
-    assert kept.columns == ["doc_id", "text", "fp", "component_id"] and sorted(r.doc_id for r in kept.collect()) == [3, 3, 7, 9]
+    assert kept.columns == ["doc_id", "text", "fp", "component_id"] and sorted(r.doc_id for r in kept.collect()) == [3, 7, 9]
+    rows = [(None, "a b c d", 1, "x"), (None, "q r s t u", 2, "x"), (1, "k l m n", 3, "x"), (1, "z y x w v", 4, "x")]
+    assert keep_one(spark.createDataFrame(rows, schema)).count() == 4
