@@ -14,10 +14,13 @@ from geowarden.functions.geo import DEGREE_M
 from geowarden.lang.check import Compiled, Distance, NearDevices, NearObjects, compile_rule
 from geowarden.lang.parser import RuleError
 from geowarden.operators import stores
-from geowarden.plans.detect import Rule, evaluate, events, gated, normalise
+from geowarden.operators.candidates import over_cells
+from geowarden.operators.gate import gate_states
+from geowarden.plans.detect import Rule, evaluate, events, gated, normalise, policies
 from geowarden.sources.geojson import SCHEMA, read_objects
 
 RULES = "rule_id string, spec string, layer_id string, center_lat double, center_lon double, radius double, min_lat double, min_lon double, max_lat double, max_lon double, repeat string, times int, delay_s double, reset_s double, expire_s double, refs array<string>"
+STATES = "device_id string, rule_id string, last_seen double, last_reset double, hits int"
 LEAST_M = 50.0
 
 
@@ -84,6 +87,24 @@ class Engine:
     def rule(self, rule_id: str) -> Rule:
         return self._rules[rule_id]
 
+    def every_rule(self) -> list[Rule]:
+        return list(self._rules.values())
+
+    def region_ids(self, rule_id: str, size: float = 0.1) -> DataFrame:
+        """``cell_y, cell_x`` of the grid cells that a rule's area meets; none if it is looked at everywhere."""
+        box = self._rules[rule_id].box
+        row = self.spark.createDataFrame([box] if box else [], "y1 double, x1 double, y2 double, x2 double")
+        return over_cells(row, size, F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2")).select("cell_y", "cell_x")
+
+    def states(self, telemetry: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """``device_id, rule_id, last_seen, last_reset, hits`` after readings, going on from the states ``before``: a snapshot that later calls take up."""
+        rules = self.every_rule()
+        held = {k: v for k, v in policies(rules).items() if v[0] is not None}
+        before = before if before is not None else self.spark.createDataFrame([], STATES)
+        rows = self.evaluated(telemetry).filter(F.col("rule_id").isin(list(held)))
+        both = gate_states(rows, before.filter(F.col("rule_id").isin(list(held))), held, self.compat)
+        return both.filter("is_state").select("device_id", "rule_id", "last_seen", "last_reset", "hits")
+
     @property
     def rules(self) -> DataFrame:
         rows = []

@@ -128,6 +128,33 @@ def object_within(parts: str, a: str) -> str:
     return (f"forall({parts}, p -> forall(p.edges, e -> {_inside('e.y1', 'e.x1', a, 'g')} AND {_inside('e.y2', 'e.x2', a, 'h')}))")
 
 
+def sooner(shape: str | None, meters: float, meets: Column, within: Column) -> tuple[Column, Column]:
+    """The tests of an object against an area, after arithmetic on the object's box has decided what it can.
+
+    Columns: lat, lon, parts, min_lat, min_lon, max_lat, max_lon.  What lies clearly outside the
+    area or, by its first corner or its whole box, clearly inside it needs no test of edges.
+    """
+    lat, lon, y, x = F.col("lat"), F.col("lon"), F.expr("parts[0].edges[0].y1"), F.expr("parts[0].edges[0].x1")
+    inside_y, inside_x = F.greatest("min_lat", F.least("max_lat", lat)), F.greatest("min_lon", F.least("max_lon", lon))
+    if shape is None or meters <= 0:
+        return F.when((inside_y != lat) | (inside_x != lon), False).otherwise(meets), within
+    high, wide = half_box(lat, meters)
+    far_y, far_x = F.greatest(lat - F.col("min_lat"), F.col("max_lat") - lat), F.greatest(lon - F.col("min_lon"), F.col("max_lon") - lon)
+    if shape == "bbox":
+        out = (F.abs(inside_y - lat) > 1.001 * high) | (F.abs(inside_x - lon) > 1.001 * wide)
+        some = (F.abs(y - lat) < 0.999 * high) & (F.abs(x - lon) < 0.999 * wide)
+        every = (far_y < 0.999 * high) & (far_x < 0.999 * wide)
+        over = (far_y > 1.001 * high) | (far_x > 1.001 * wide)
+    else:
+        # A regular 12-gon holds all within cos(15 degrees) = 0.966 of its radius and nothing beyond it.
+        level = F.abs(lat) < 80
+        out = level & (haversine(lat, lon, inside_y, inside_x) > 1.01 * meters)
+        some = level & (haversine(lat, lon, y, x) < 0.96 * meters)
+        every = (F.abs(lat) < 60) & (F.pow(far_y / high, 2) + F.pow(far_x / wide, 2) < 0.9)
+        over = level & (haversine(lat, lon, y, x) > 1.01 * meters)
+    return F.when(out, False).when(some, True).otherwise(meets), F.when(out | over, False).when(every, True).otherwise(within)
+
+
 def place_in(shape: str | None, lat: str, lon: str, meters: float, y: str, x: str) -> Column:
     """A place (columns ``y, x``) lies in the area around another: plain arithmetic unless the area is a circle."""
     if shape is None or meters <= 0:

@@ -1,7 +1,8 @@
 """Candidate joins: always an equality on layer and grid cell, the exact test as residual.
 
-A reading falls into one cell.  What it may meet is filed under every cell that its box, grown by
+One side of a join falls into one cell, the other is filed under every cell that its box, grown by
 the search distance, overlaps, so a pair meets in one cell only and nothing has to be deduplicated.
+Cells go round the antimeridian.
 """
 
 from __future__ import annotations
@@ -12,52 +13,100 @@ from pyspark.sql import functions as F
 from geowarden.functions.geo import DEGREE_M, half_box
 from geowarden.functions.words import seconds
 
-CELL = 0.1
 MOST_M = 50_000.0
 LEAST_M = 50.0
-#: Width of the time buckets of the as-of join.
-BUCKET_S = 3600
+#: Sizes of cells: of the search, and each level above it so many times as wide; a box is filed at the level where it spans about so many cells.
+LEVEL, SPAN = 8, 4
+#: Lengths of time blocks in seconds (a minute to 32 years): an interval is filed under blocks of a sixteenth of its length or more.
+BLOCKS_S = tuple(60 * 16**k for k in range(6))
+SHARE = 16
 
 
-def cell_size(meters: float) -> float:
-    """Cells at least as wide as the search box is high."""
-    return max(CELL, 2 * meters / DEGREE_M)
+def cell_size(meters: float, least: float = 0.001) -> float:
+    """Cells about as wide as the search box is high; an even number of them goes round the world."""
+    wide = max(least, 2 * meters / DEGREE_M)
+    return 180.0 / max(1, int(180.0 / wide + 1e-9))
+
+
+def _round(cell: Column, size: float) -> Column:
+    """Columns of cells beyond the antimeridian are those of its other side."""
+    half = round(180.0 / size)
+    return F.pmod(cell + half, F.lit(2 * half)) - half
 
 
 def in_cell(df: DataFrame, size: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    return df.withColumn("cell_y", F.floor(F.col(lat) / size)).withColumn("cell_x", F.floor(F.col(lon) / size))
+    return df.withColumn("cell_y", F.floor(F.col(lat) / size)).withColumn("cell_x", _round(F.floor(F.col(lon) / size), size))
 
 
 def over_cells(df: DataFrame, size: float, low_y: Column, low_x: Column, high_y: Column, high_x: Column) -> DataFrame:
-    """One row for each cell that a box overlaps."""
-    rows = df.withColumn("cell_y", F.explode(F.sequence(F.floor(low_y / size), F.floor(high_y / size))))
-    return rows.withColumn("cell_x", F.explode(F.sequence(F.floor(low_x / size), F.floor(high_x / size))))
+    """One row for each cell that a box overlaps, round the antimeridian too; a box wider than the world has every column once."""
+    rows = df.withColumn("cell_y", F.explode(F.sequence(F.floor(F.greatest(low_y, F.lit(-90.0)) / size), F.floor(F.least(high_y, F.lit(90.0)) / size))))
+    first = F.floor(low_x / size)
+    last = F.least(F.floor(high_x / size), first + 2 * round(180.0 / size) - 1)
+    return rows.withColumn("_x", F.explode(F.sequence(first, last))).withColumn("cell_x", _round(F.col("_x"), size)).drop("_x")
+
+
+def level_sizes(size: float) -> list[float]:
+    """Cell sizes of all levels, from ``size`` to a quarter of the world."""
+    out = [size]
+    while out[-1] < 45.0:
+        out.append(180.0 / max(1, int(180.0 / (out[-1] * LEVEL))))
+    return out
+
+
+def over_levels(df: DataFrame, size: float, low_y: Column, low_x: Column, high_y: Column, high_x: Column) -> DataFrame:
+    """One row for each cell that a box overlaps at the level of its size, so that large boxes have few rows too: level, cell_y, cell_x."""
+    sizes = level_sizes(size)
+    span = F.greatest(high_y - low_y, high_x - low_x)
+    level = F.lit(len(sizes) - 1)
+    for k in reversed(range(len(sizes) - 1)):
+        level = F.when(span <= SPAN * sizes[k], k).otherwise(level)
+    placed, out = df.withColumn("level", level), None
+    for k, one in enumerate(sizes):
+        part = over_cells(placed.filter(F.col("level") == k), one, low_y, low_x, high_y, high_x)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def in_levels(df: DataFrame, size: float) -> DataFrame:
+    """A row for each level with the cell of a place."""
+    at = [F.struct(F.lit(k).alias("level"), F.floor(F.col("lat") / one).alias("y"), _round(F.floor(F.col("lon") / one), one).alias("x")) for k, one in enumerate(level_sizes(size))]
+    return df.withColumn("_at", F.explode(F.array(*at))).select("*", "_at.level", F.col("_at.y").alias("cell_y"), F.col("_at.x").alias("cell_x")).drop("_at")
+
+
+def beside(lon: Column, other: Column) -> Column:
+    """A longitude as the one within 180 degrees of another."""
+    return other + 360.0 * F.round((lon - other) / 360.0)
 
 
 def near_objects(readings: DataFrame, objects: DataFrame, meters: float, every: bool, refs: tuple[str, ...]) -> DataFrame:
-    """``event_id, lat, lon, object_id, parts`` of the objects that a leaf looks at for each reading.
+    """``event_id, lat, lon``, the object's id, parts and box: the objects that a leaf looks at for each reading.
 
-    All objects of the layer whose box meets the box around the reading, or the named ones.
+    All objects of the layer whose box meets the box around the reading, and the named ones.  The
+    longitude of a reading is given within 180 degrees of the object's.
     """
     thin = readings.select("event_id", "layer_id", "lat", "lon")
-    named = objects.filter(F.col("object_id").isin(list(refs))).select("layer_id", "object_id", "parts")
+    box = ["min_lat", "min_lon", "max_lat", "max_lon"]
+    named = objects.select("layer_id", "object_id", "parts", *box)
     out = None
     if refs:
-        out = thin.join(named, "layer_id")
+        out = thin.join(named.filter(F.col("object_id").isin(list(refs))), "layer_id")
     if every:
         m = min(max(meters, 0.0) or LEAST_M, MOST_M)
-        size = cell_size(m)
+        size = cell_size(m, 0.1)
         top = F.greatest(F.abs("min_lat"), F.abs("max_lat")) + m / DEGREE_M
         y, x = half_box(F.least(top, F.lit(89.9)), m)
-        filed = over_cells(objects, size, F.col("min_lat") - y, F.col("min_lon") - x, F.col("max_lat") + y, F.col("max_lon") + x)
-        filed = filed.select("layer_id", "cell_y", "cell_x", "object_id", "parts", "min_lat", "min_lon", "max_lat", "max_lon")
+        filed = over_levels(objects.select("layer_id", "object_id", *box), size, F.col("min_lat") - y, F.col("min_lon") - x, F.col("max_lat") + y, F.col("max_lon") + x)
         y, x = half_box(F.col("lat"), m)
-        meets = F.col("max_lat").between(F.col("lat") - y, F.lit(1e9)) & (F.col("min_lat") <= F.col("lat") + y) & (F.col("max_lon") >= F.col("lon") - x) & (F.col("min_lon") <= F.col("lon") + x)
-        found = in_cell(thin, size).join(filed, ["layer_id", "cell_y", "cell_x"]).filter(meets).select("layer_id", "event_id", "lat", "lon", "object_id", "parts")
+        lon = beside((F.col("min_lon") + F.col("max_lon")) / 2, F.col("lon"))
+        meets = (F.col("max_lat") >= F.col("lat") - y) & (F.col("min_lat") <= F.col("lat") + y) & (F.col("max_lon") >= lon - x) & (F.col("min_lon") <= lon + x)
+        found = in_levels(thin, size).join(filed, ["layer_id", "level", "cell_y", "cell_x"]).filter(meets).select("layer_id", "event_id", "lat", "lon", "object_id")
         if refs:
             found = found.filter(~F.col("object_id").isin(list(refs)))
+        # Shapes come last: they are looked up by id, not copied into every cell.
+        found = found.join(named, ["layer_id", "object_id"])
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.withColumn("lon", beside((F.col("min_lon") + F.col("max_lon")) / 2, F.col("lon")))
 
 
 def intervals(history: DataFrame) -> DataFrame:
@@ -67,22 +116,37 @@ def intervals(history: DataFrame) -> DataFrame:
     return rows.withColumn("until", F.lead("at").over(w)).withColumn("until_id", F.lead("event_id").over(w))
 
 
-def near_devices(readings: DataFrame, history: DataFrame, meters: float, every: bool, refs: tuple[str, ...], wide: bool = False, same: bool = False, layers: bool = True, bucket_s: int = BUCKET_S) -> DataFrame:
+def _blocks(held: DataFrame) -> DataFrame:
+    """One row for each time block of an interval: ``span`` (the block's length; 0 for intervals without an end, which are filed once) and ``block``."""
+    length = F.col("until") - F.col("at")
+    span = F.lit(BLOCKS_S[-1])
+    for s in reversed(BLOCKS_S[:-1]):
+        span = F.when(length <= SHARE * s, s).otherwise(span)
+    span = F.when(F.col("until").isNull(), 0).otherwise(span).cast("long")
+    rows = held.withColumn("span", span)
+    some = F.when(F.col("span") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.floor(F.col("at") / F.greatest("span", F.lit(1))), F.floor(F.col("until") / F.greatest("span", F.lit(1)))))
+    return rows.withColumn("block", F.explode(some))
+
+
+def near_devices(readings: DataFrame, history: DataFrame, meters: float, every: bool, refs: tuple[str, ...], wide: bool = False, same: bool = False, layers: bool = True) -> DataFrame:
     """``event_id, lat, lon, other_id, other_lat, other_lon``: last positions, before each reading, of other devices.
 
     As-of join: a position holds from its reading until the device's next one, both excluded at
-    the reading's own moment (ties of the second by event_id).  Intervals are filed under time
-    buckets, and for ``every`` under cells too.  ``wide`` searches 50 km; ``same`` lets a device
-    meet its own last position; ``layers=False`` looks across layers.
+    the reading's own moment (ties of the second by event_id).  An interval is filed under a few
+    time blocks of a length that fits its own, so a silent device has one row and not one an hour;
+    for ``every`` a position lies in one cell, and a reading looks into the cells that its search
+    box meets.  ``wide`` searches 50 km; ``same`` lets a device meet its own last position;
+    ``layers=False`` looks across layers.  Longitudes of others are given within 180 degrees of
+    the reading's.
     """
-    keys = ["bucket"] + (["layer_id"] if layers else [])
-    thin = readings.select("event_id", "layer_id", "device_id", "lat", "lon", seconds().alias("now")).withColumn("bucket", F.floor(F.col("now") / bucket_s))
-    last = history.agg(F.max(seconds()).alias("m")).first()["m"] or 0
+    keys = ["span", "block"] + (["layer_id"] if layers else [])
+    thin = readings.select("event_id", "layer_id", "device_id", "lat", "lon", seconds().alias("now"))
     held = intervals(history)
     if not every:
         held = held.filter(F.col("device_id").isin(list(refs)))
-    held = held.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("at") / bucket_s), F.floor(F.coalesce("until", F.greatest(F.lit(last), F.col("at"))) / bucket_s))))
-    held = held.select("bucket", "layer_id", F.col("event_id").alias("since_id"), "at", "until", "until_id", F.col("device_id").alias("other_id"), F.col("lat").alias("other_lat"), F.col("lon").alias("other_lon"))
+    held = _blocks(held)
+    probes = F.array(F.struct(F.lit(0).cast("long").alias("span"), F.lit(0).cast("long").alias("block")), *[F.struct(F.lit(s).cast("long").alias("span"), F.floor(F.col("now") / s).alias("block")) for s in BLOCKS_S])
+    held = held.select("span", "block", "layer_id", F.col("event_id").alias("since_id"), "at", "until", "until_id", F.col("device_id").alias("other_id"), F.col("lat").alias("other_lat"), F.col("lon").alias("other_lon"))
     before = (F.col("at") < F.col("now")) | (F.col("at") == F.col("now")) & (F.col("since_id") < F.col("event_id"))
     still = F.col("until").isNull() | (F.col("until") > F.col("now")) | (F.col("until") == F.col("now")) & (F.col("until_id") >= F.col("event_id"))
     other = F.lit(True) if same else F.col("other_id") != F.col("device_id")
@@ -91,11 +155,17 @@ def near_devices(readings: DataFrame, history: DataFrame, meters: float, every:
     if every:
         m = MOST_M if wide else min(meters or LEAST_M, MOST_M)
         size = cell_size(m)
-        y, x = half_box(F.least(F.abs("other_lat") + m / DEGREE_M, F.lit(89.9)), m)
-        filed = over_cells(held, size, F.col("other_lat") - y, F.col("other_lon") - x, F.col("other_lat") + y, F.col("other_lon") + x)
-        y, x = half_box(F.col("lat"), m)
-        box = (F.abs(F.col("other_lat") - F.col("lat")) <= y) & (F.abs(F.col("other_lon") - F.col("lon")) <= x)
-        pairs = in_cell(thin, size).join(filed, [*keys, "cell_y", "cell_x"]).filter(box | F.col("other_id").isin(list(refs)) if refs else box)
+        y, x = half_box(F.least(F.abs("lat"), F.lit(89.9)), m)
+        x = F.least(x, F.lit(180.0))
+        asked = over_cells(thin, size, F.col("lat") - y, F.col("lon") - x, F.col("lat") + y, F.col("lon") + x)
+        asked = asked.withColumn("_at", F.explode(probes)).select("*", "_at.span", "_at.block").drop("_at")
+        box = (F.abs(F.col("other_lat") - F.col("lat")) <= y) & (F.abs(beside(F.col("lon"), F.col("other_lon")) - F.col("lon")) <= x)
+        pairs = asked.join(in_cell(held, size, "other_lat", "other_lon"), [*keys, "cell_y", "cell_x"]).filter(box)
+        if refs:
+            named = near_devices(readings, history, meters, False, refs, same=same, layers=layers)
+            rest = pairs.filter(before & still & other & ~F.col("other_id").isin(list(refs)))
+            return named.unionByName(rest.select("event_id", "lat", "lon", "other_id", "other_lat", beside(F.col("lon"), F.col("other_lon")).alias("other_lon")))
     else:
-        pairs = thin.join(held, keys)
-    return pairs.filter(before & still & other).select("event_id", "lat", "lon", "other_id", "other_lat", "other_lon")
+        asked = thin.withColumn("_at", F.explode(probes)).select("*", "_at.span", "_at.block").drop("_at")
+        pairs = asked.join(held, keys)
+    return pairs.filter(before & still & other).select("event_id", "lat", "lon", "other_id", "other_lat", beside(F.col("lon"), F.col("other_lon")).alias("other_lon"))

@@ -47,6 +47,26 @@ def step(state: State, now: float, ok: bool, trigger: Trigger | None, reset_s: f
     return fires
 
 
+def remove_states(states: DataFrame, device_id: str | None = None, rule_id: str | None = None) -> DataFrame:
+    """States without those of a device, of a rule, or of the one key that both name."""
+    if device_id is None and rule_id is None:
+        return states
+    gone = F.lit(True)
+    for c, v in (("device_id", device_id), ("rule_id", rule_id)):
+        gone = gone & (F.col(c) == v) if v is not None else gone
+    return states.filter(~gone)
+
+
+def lookup_state(states: DataFrame, device_id: str, rule_id: str) -> DataFrame:
+    return states.filter((F.col("device_id") == device_id) & (F.col("rule_id") == rule_id))
+
+
+def visits(hits: DataFrame) -> DataFrame:
+    """``device_id, rule_id, object_id, last_visit`` (seconds): when each device last met each object, from events."""
+    each = hits.select(F.col("device.device_id").alias("device_id"), F.col("rule.rule_id").alias("rule_id"), F.unix_timestamp("date_time").alias("t"), F.explode(F.flatten(F.transform("match", lambda m: F.coalesce(m["right"]["refs"], F.array().cast("array<string>"))))).alias("object_id"))
+    return each.groupBy("device_id", "rule_id", "object_id").agg(F.max("t").alias("last_visit"))
+
+
 def gate(rows: DataFrame, policies: dict[str, tuple[Trigger | None, float]], compat: bool = False) -> DataFrame:
     """The rows of ``rows`` (device_id, rule_id, ok, now, event_id and others) that fire.
 

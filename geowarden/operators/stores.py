@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geowarden.functions.geo import half_box
-from geowarden.operators.candidates import LEAST_M, MOST_M, cell_size, in_cell, over_cells
+from geowarden.operators.candidates import LEAST_M, MOST_M, beside, cell_size, in_cell, in_levels, over_cells, over_levels
 
 
 def latest(telemetry: DataFrame) -> DataFrame:
@@ -37,7 +37,12 @@ def lookup(store: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def in_cells(store: DataFrame, cell_y: int, cell_x: int, size: float) -> DataFrame:
-    return in_cell(store, size).filter((F.col("cell_y") == cell_y) & (F.col("cell_x") == cell_x)).drop("cell_y", "cell_x")
+    """What a store has in a cell: devices whose place, objects whose box lies in it (each object once)."""
+    if "lat" in store.columns:
+        return in_cell(store, size).filter((F.col("cell_y") == cell_y) & (F.col("cell_x") == cell_x)).drop("cell_y", "cell_x")
+    low, high = F.lit(cell_y * size), F.lit(cell_y * size + size)
+    left, right = F.lit(cell_x * size), F.lit(cell_x * size + size)
+    return store.filter((F.col("max_lat") >= low) & (F.col("min_lat") < high) & (F.col("max_lon") >= left) & (F.col("min_lon") < right))
 
 
 def _reach(meters: float) -> float:
@@ -51,7 +56,8 @@ def near_devices(devices: DataFrame, lat: float, lon: float, meters: float) -> D
 
 def _box(lat: Column, lon: Column, meters: float) -> Column:
     y, x = half_box(lat, meters)
-    return (F.col("lat") >= lat - y) & (F.col("lat") <= lat + y) & (F.col("lon") >= lon - x) & (F.col("lon") <= lon + x)
+    here = beside(lon, F.col("lon"))
+    return (F.col("lat") >= lat - y) & (F.col("lat") <= lat + y) & (here >= lon - x) & (here <= lon + x)
 
 
 def near_devices_of(places: DataFrame, devices: DataFrame, meters: float) -> DataFrame:
@@ -59,6 +65,7 @@ def near_devices_of(places: DataFrame, devices: DataFrame, meters: float) -> Dat
     m = _reach(meters)
     size = cell_size(m)
     y, x = half_box(F.col("place_lat"), m)
+    x = F.least(x, F.lit(180.0))
     filed = over_cells(places, size, F.col("place_lat") - y, F.col("place_lon") - x, F.col("place_lat") + y, F.col("place_lon") + x)
     found = in_cell(devices.select("device_id", "lat", "lon"), size).join(filed, ["cell_y", "cell_x"])
     return found.filter(_box(F.col("place_lat"), F.col("place_lon"), m)).select("place_id", "device_id")
@@ -72,6 +79,6 @@ def near_objects(objects: DataFrame, layer: str, lat: float, lon: float, meters:
 
 def walk_rules(readings: DataFrame, rules: DataFrame, size: float = 0.1) -> DataFrame:
     """``event_id, rule_id`` of the rules (rule_id, layer_id, min_lat, min_lon, max_lat, max_lon) whose box holds a reading."""
-    filed = over_cells(rules, size, F.col("min_lat"), F.col("min_lon"), F.col("max_lat"), F.col("max_lon"))
+    filed = over_levels(rules, size, F.col("min_lat"), F.col("min_lon"), F.col("max_lat"), F.col("max_lon"))
     inside = F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lon").between(F.col("min_lon"), F.col("max_lon"))
-    return in_cell(readings.select("event_id", "layer_id", "lat", "lon"), size).join(filed, ["layer_id", "cell_y", "cell_x"]).filter(inside).select("event_id", "rule_id")
+    return in_levels(readings.select("event_id", "layer_id", "lat", "lon"), size).join(filed, ["layer_id", "level", "cell_y", "cell_x"]).filter(inside).select("event_id", "rule_id")

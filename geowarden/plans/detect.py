@@ -28,15 +28,23 @@ class Rule:
 
 
 def normalise(telemetry: DataFrame) -> DataFrame:
-    """Readings with all columns: an absent or null sensor is 0, an absent text empty, ids are strings."""
+    """Readings with all columns: an absent or null sensor is 0, an absent text empty, ids are strings.
+
+    A reading without a time has no place in the order of its device and is left out (see untimed()).
+    """
     have = set(telemetry.columns)
     col = lambda name, kind, other: (F.coalesce(F.col(name).cast(kind), F.lit(other).cast(kind)) if name in have else F.lit(other).cast(kind)).alias(name)
-    return telemetry.select(
+    return telemetry.filter(F.col("ts").isNotNull()).select(
         "event_id", F.col("device_id").cast("string").alias("device_id"), col("layer_id", "string", ""), F.col("ts").cast("timestamp").alias("ts"),
         *[col(c, "double", 0.0) for c in NUMBERS], col("status", "int", 0), *[col(c, "string", "") for c in TEXTS],
     )
 
 
+def untimed(telemetry: DataFrame) -> DataFrame:
+    """The readings that normalise() leaves out."""
+    return telemetry.filter(F.col("ts").isNull())
+
+
 def _negated(op: str, meets: str, within: str) -> str:
     """What lies within an area also meets it, so NEAR needs one test and NNEAR the other."""
     return {"intersects": meets, "nintersects": f"NOT {meets}", "near": meets, "nnear": f"NOT {within}", "in": within, "nin": f"NOT {within}"}[op]
@@ -52,10 +60,12 @@ def object_hits(readings: DataFrame, objects: DataFrame, leaf: NearObjects, comp
         readings = readings.filter(F.col("device_id").isin(list(leaf.only)))
     pairs = candidates.near_objects(readings, objects, leaf.area.meters, leaf.every, leaf.refs)
     areas = {"mine": geo.area(leaf.area.shape, "lat", "lon", leaf.area.meters)}
-    meets, within = geo.object_intersects("parts", "mine"), geo.object_within("parts", "mine")
+    meets, within = (geo.with_areas(areas, f("parts", "mine")) for f in (geo.object_intersects, geo.object_within))
+    meets, within = geo.sooner(leaf.area.shape, leaf.area.meters, meets, within)
     if leaf.area.shape is None and not compat and leaf.op in ("in", "nin"):
         within = meets
-    return pairs.filter(geo.with_areas(areas, _negated(leaf.op, meets, within))).groupBy("event_id").agg(F.array_sort(F.collect_set("object_id")).alias("refs"))
+    test = {"intersects": meets, "nintersects": ~meets, "near": meets, "nnear": ~within, "in": within, "nin": ~within}[leaf.op]
+    return pairs.filter(test).groupBy("event_id").agg(F.array_sort(F.collect_set("object_id")).alias("refs"))
 
 
 def device_hits(readings: DataFrame, history: DataFrame, leaf: NearDevices, compat: bool = False) -> DataFrame:

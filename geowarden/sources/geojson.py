@@ -76,8 +76,14 @@ def read_objects(rows: DataFrame) -> DataFrame:
 
 def invalid(rows: DataFrame) -> DataFrame:
     """The rows that read_objects() leaves out."""
-    bad = F.udf(lambda t: t is None or parse_object(t) is None, "boolean")
-    return rows.filter(F.col("object_id").isNull() | (F.col("object_id").cast("string") == "") | bad("geojson"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("geojson")).to_pylist()
+            ids = batch.column(batch.schema.get_field_index("object_id")).to_pylist()
+            yield batch.filter(pa.array([i is None or str(i) == "" or t is None or parse_object(t) is None for i, t in zip(ids, texts, strict=True)]))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _parts_type() -> pa.DataType:

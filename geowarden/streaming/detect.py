@@ -3,7 +3,8 @@
 Two small tables carry over: every device's last position, and the state of every (device, rule)
 that has a firing policy.  A batch reads those of the batch before it and writes its own under its
 number, so a batch that is run again after a failure starts from the same tables and replaces its
-own; the sink gets the batch number for the same purpose.
+own; the sink gets the batch number for the same purpose.  Tables of batches before the last are
+removed; states of rules that are gone go with them.
 """
 
 from __future__ import annotations
@@ -32,11 +33,32 @@ class StreamDetector:
         return f"{self.folder}/{name}/batch={batch}"
 
     def _read(self, name: str, batch: int) -> DataFrame | None:
-        spark = self.engine.spark
-        path = spark._jvm.org.apache.hadoop.fs.Path(self._path(name, batch))
-        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        """The table that a batch left; None before the first.  A lost table is an error, not a fresh start."""
+        if batch < 0:
             return None
-        return spark.read.parquet(self._path(name, batch))
+        folder, files = self._folder(name, batch)
+        if not files.exists(folder):
+            raise FileNotFoundError(f"batch {batch + 1} needs {self._path(name, batch)}, which is gone")
+        return self.engine.spark.read.parquet(self._path(name, batch))
+
+    def _folder(self, name: str, batch: int):
+        spark = self.engine.spark
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self._path(name, batch))
+        return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _drop(self, batch: int) -> None:
+        for name in ("devices", "states"):
+            folder, files = self._folder(name, batch)
+            files.delete(folder, True)
+
+    def states(self, batch: int) -> DataFrame:
+        """The firing states after a batch."""
+        return self._read("states", batch)
+
+    def restore(self, devices: DataFrame, states: DataFrame, number: int) -> None:
+        """Puts tables where batch ``number + 1`` looks for them: a snapshot of another stream, or states without some keys."""
+        devices.write.mode("overwrite").parquet(self._path("devices", number))
+        states.write.mode("overwrite").parquet(self._path("states", number))
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         """Handles one micro-batch: events to the sink, then the tables for the next batch."""
@@ -44,7 +66,7 @@ class StreamDetector:
         readings = normalise(batch).persist()
         try:
             past, states = self._read("devices", number - 1), self._read("states", number - 1)
-            rules = [engine.rule(r["rule_id"]) for r in engine.rules.select("rule_id").collect()]
+            rules = engine.every_rule()
             rows = engine.evaluated(readings, past)
             held = {k: v for k, v in policies(rules).items() if v[0] is not None}
             states = states if states is not None else spark.createDataFrame([], STATE)
@@ -57,6 +79,7 @@ class StreamDetector:
             last = stores.latest(readings if past is None else past.unionByName(readings))
             last.write.mode("overwrite").parquet(self._path("devices", number))
             both.unpersist()
+            self._drop(number - 2)
         finally:
             readings.unpersist()
 
