@@ -28,21 +28,25 @@ def cell_size(meters: float, least: float = 0.001) -> float:
     return 180.0 / max(1, int(180.0 / wide + 1e-9))
 
 
-def _round(cell: Column, size: float) -> Column:
+def _half(size: float | Column) -> Column:
+    """Cells on half of a parallel."""
+    return F.round(180.0 / size).cast("long") if isinstance(size, Column) else F.lit(round(180.0 / size)).cast("long")
+
+
+def _round(cell: Column, size: float | Column) -> Column:
     """Columns of cells beyond the antimeridian are those of its other side."""
-    half = round(180.0 / size)
-    return F.pmod(cell + half, F.lit(2 * half)) - half
+    return F.pmod(cell + _half(size), 2 * _half(size)) - _half(size)
 
 
 def in_cell(df: DataFrame, size: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
     return df.withColumn("cell_y", F.floor(F.col(lat) / size)).withColumn("cell_x", _round(F.floor(F.col(lon) / size), size))
 
 
-def over_cells(df: DataFrame, size: float, low_y: Column, low_x: Column, high_y: Column, high_x: Column) -> DataFrame:
+def over_cells(df: DataFrame, size: float | Column, low_y: Column, low_x: Column, high_y: Column, high_x: Column) -> DataFrame:
     """One row for each cell that a box overlaps, round the antimeridian too; a box wider than the world has every column once."""
     rows = df.withColumn("cell_y", F.explode(F.sequence(F.floor(F.greatest(low_y, F.lit(-90.0)) / size), F.floor(F.least(high_y, F.lit(90.0)) / size))))
     first = F.floor(low_x / size)
-    last = F.least(F.floor(high_x / size), first + 2 * round(180.0 / size) - 1)
+    last = F.least(F.floor(high_x / size), first + 2 * _half(size) - 1)
     return rows.withColumn("_x", F.explode(F.sequence(first, last))).withColumn("cell_x", _round(F.col("_x"), size)).drop("_x")
 
 
@@ -61,11 +65,8 @@ def over_levels(df: DataFrame, size: float, low_y: Column, low_x: Column, high_y
     level = F.lit(len(sizes) - 1)
     for k in reversed(range(len(sizes) - 1)):
         level = F.when(span <= SPAN * sizes[k], k).otherwise(level)
-    placed, out = df.withColumn("level", level), None
-    for k, one in enumerate(sizes):
-        part = over_cells(placed.filter(F.col("level") == k), one, low_y, low_x, high_y, high_x)
-        out = part if out is None else out.unionByName(part)
-    return out
+    each = F.array(*map(F.lit, sizes))
+    return over_cells(df.withColumn("level", level).withColumn("_size", F.get(each, F.col("level"))), F.col("_size"), low_y, low_x, high_y, high_x).drop("_size")
 
 
 def in_levels(df: DataFrame, size: float) -> DataFrame:

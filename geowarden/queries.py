@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geowarden.engine import Engine
@@ -16,21 +16,26 @@ ORACLE: dict[str, str] = {}
 M = 111194.92664455873
 
 
-def _rule(name: str, text: str, sql: str | None, layers: bool = False, spread: bool = False, columns: tuple[str, ...] = ("event_id",)) -> None:
+def _rule(name: str, text: str, sql: str | None, layers: bool = False, spread: bool = False, coarse: bool = False, columns: tuple[str, ...] = ("event_id",), **options) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        engine = Engine(spark, tables.objects(spark, sf_dir, layers))
+        engine = Engine(spark, tables.objects(spark, sf_dir, layers), **options)
         engine.add_rule(text, name)
-        found = engine.detect(tables.telemetry(spark, sf_dir, layers, spread))
+        found = engine.detect(tables.telemetry(spark, sf_dir, layers, spread, coarse))
         refs = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("match", lambda m: F.coalesce(m["right"]["refs"], F.array().cast("array<string>")))))), ",")
-        return found.select(*[{"event_id": F.col("event_id"), "refs": refs.alias("refs"), "n_matches": F.size("match").alias("n_matches")}[c] for c in columns])
+        return found.select(*[{"event_id": F.col("event_id"), "refs": refs.alias("refs"), "n_refs": F.size(F.split(refs, ",")).cast("long").alias("n_refs"), "matches": _told().alias("matches")}[c] for c in columns])
 
     QUERIES[name] = run
     if sql:
         ORACLE[name] = sql
 
 
-def _scalar(name: str, text: str, where: str, spread: bool = False) -> None:
-    _rule(name, text, f"WITH r AS ({tables.telemetry_sql(spread=spread)}) SELECT event_id FROM r WHERE {where}", spread=spread)
+def _told() -> Column:
+    """Operator, position and keywords of every match, in order."""
+    return F.array_join(F.transform("match", lambda m: F.concat_ws(":", m["operator"], m["pos"].cast("string"), m["left"]["keyword"], m["right"]["keyword"])), " ")
+
+
+def _scalar(name: str, text: str, where: str, spread: bool = False, coarse: bool = False, **options) -> None:
+    _rule(name, text, f"WITH r AS ({tables.telemetry_sql(spread=spread, coarse=coarse)}) SELECT event_id FROM r WHERE {where}", spread=spread, coarse=coarse, **options)
 
 
 _SIGNS = {"eq": "=", "ne": "<>", "lt": "<", "gt": ">", "lte": "<=", "gte": ">="}
@@ -39,7 +44,7 @@ for _op, _sign in _SIGNS.items():
     _scalar(f"cmp_int_{_op}", f"speed {_op} 40", f"CAST(trunc(speed) AS BIGINT) {_sign} 40")
     _scalar(f"cmp_float_{_op}", f"speed {_op} 40.5", f"speed {_sign} 40.5")
     _scalar(f"cmp_str_{_op}", f'model {_op} "error"', f"model {_sign} 'error'")
-    _scalar(f"cmp_time_{_op}", f"time {_op} 12:30", f"{_NOON} {_sign} 45000")
+    _scalar(f"cmp_time_{_op}", f"time {_op} 12:30", f"{_NOON} {_sign} 45000", coarse=True)
     _scalar(f"cmp_mirrored_{_op}", f"40 {_op} speed", f"40 {_sign} CAST(trunc(speed) AS BIGINT)")
 _scalar("in_int", "temperature in [-5, 0, 5, 41]", "CAST(trunc(temperature) AS BIGINT) IN (-5, 0, 5, 41)")
 _scalar("nin_int", "status nin [1, 2, 3, 50]", "status NOT IN (1, 2, 3, 50)")
@@ -67,6 +72,15 @@ _scalar("cal_day", "day lte 7", "day(ts) <= 7")
 _scalar("cal_hour", "hour in [8, 9, 17, 18]", "hour(ts) IN (8, 9, 17, 18)")
 _scalar("cal_date_text", 'date lt "2024-03-01"', "strftime(ts, '%Y-%m-%d') < '2024-03-01'", spread=True)
 _I = "CAST(trunc({}) AS BIGINT)".format
+_scalar("sensor_fuel_level", "fuelLevel lt 20", f"{_I('fuel_level')} < 20")
+_scalar("sensor_pressure", "pressure range [960.5 .. 990.5]", "pressure BETWEEN 960.5 AND 990.5")
+_scalar("sensor_luminosity", "luminosity gte 500.5", "luminosity >= 500.5")
+_scalar("sensor_humidity", "humidity in [10, 20, 30]", f"{_I('humidity')} IN (10, 20, 30)")
+_scalar("sensor_temperature", "temperature lte -5", f"{_I('temperature')} <= -5")
+_scalar("text_imei", 'imei in ["35-3", "35-7"]', "imei IN ('35-3', '35-7')")
+_scalar("text_owner", 'owner ne "Customer#000000012"', "owner <> 'Customer#000000012'")
+_scalar("before_hook", "speed gt 20", f"{_I('speed')} > 20 AND status >= 50", before=lambda rule: (rule == "before_hook") & (F.col("status") < 50))
+_scalar("compat_mirrored", "40 lt speed", f"{_I('speed')} < 40", compat=True)
 _scalar("bool_and", "speed range [30 .. 120] AND hour IN [8, 9, 17, 18]", f"{_I('speed')} BETWEEN 30 AND 120 AND hour(ts) IN (8, 9, 17, 18)")
 _scalar("bool_or", "speed lt 10 OR battery gt 95", f"{_I('speed')} < 10 OR battery > 95")
 _scalar("bool_paren_mixed", '(speed lt 30 OR battery gt 80) AND (model eq "view" OR model eq "click")', f"({_I('speed')} < 30 OR battery > 80) AND model IN ('view', 'click')")
@@ -125,12 +139,13 @@ _REFS = "SELECT event_id, string_agg(other, ',' ORDER BY other) AS refs"
 _SOME = "n0 n6 n12 n18 n24 n7".split()
 
 
-def _object_sql(op: str, shape: str | None, meters: float, every: bool, layers: bool = False, layer: str = "") -> str:
+def _object_sql(op: str, shape: str | None, meters: float, every: bool, layers: bool = False, layer: str = "", only: str = "true", also: list[str] | None = None) -> str:
     m = meters or 50.0
     y, x = f"{m} / {M}", f"{m} / {M} / cos(radians(lat))"
     where = f"max(o.y) >= r.lat - {y} AND min(o.y) <= r.lat + {y} AND max(o.x) >= r.lon - {x} AND min(o.x) <= r.lon + {x}" if every else "true"
     ids = "" if every else f"AND o.object_id IN ({', '.join(repr(k) for k in _SOME)})"
-    cand = f"SELECT r.event_id, o.object_id AS other, r.lat, r.lon, list({{'y': o.y, 'x': o.x}} ORDER BY o.i) AS ring FROM r JOIN o ON o.layer_id = r.layer_id {ids} WHERE r.layer_id = '{layer}' GROUP BY ALL HAVING {where}"
+    where = f"{where} OR any_value(o.object_id) IN ({', '.join(map(repr, also))})" if also else where
+    cand = f"SELECT r.event_id, o.object_id AS other, r.lat, r.lon, list({{'y': o.y, 'x': o.x}} ORDER BY o.i) AS ring FROM r JOIN o ON o.layer_id = r.layer_id {ids} WHERE r.layer_id = '{layer}' AND {only} GROUP BY ALL HAVING {where}"
     test = "meets" if shape is None and op == "in" else "NOT meets" if shape is None and op == "nin" else _TEST[op]
     return f"WITH r AS ({tables.telemetry_sql(layers)}), o AS ({tables.corners_sql(layers)}), {_pairs_sql(cand, _ring_sql(shape, meters, 'lat', 'lon'), 'ring')} {_REFS} FROM facts WHERE {test} GROUP BY event_id"
 
@@ -146,26 +161,54 @@ for _op in _TEST:
 _rule("match_refs", f"objects({', '.join(_SOME)}) NEAR device :radius 1500m", _object_sql("near", "radius", 1500.0, False), columns=("event_id", "refs"))
 _rule("layer_isolation", "device INTERSECTS polygon(@) { :layer L3 }", _object_sql("intersects", None, 0.0, True, True, "L3"), layers=True, columns=("event_id", "refs"))
 
+_PEERS = "d3 d17 d42".split()
+_OURS = f"device_id IN ({', '.join(map(repr, _PEERS))})"
+for _op in ("nintersects", "nnear", "nin"):
+    _rule(f"{_op}_obj_every", f"device :bbox 1500m {_op} polygon(@)", _object_sql(_op, "bbox", 1500.0, True), columns=("event_id", "refs"))
+_rule("only_devices_obj", f"devices({', '.join(_PEERS)}) :radius 1500m INTERSECTS polygon(@)", _object_sql("intersects", "radius", 1500.0, True, only=_OURS), columns=("event_id", "refs"))
+_rule("obj_only_devices", f"polygon({', '.join(_SOME)}) NIN devices({', '.join(_PEERS)}) :bbox 1500m", _object_sql("nin", "bbox", 1500.0, False, only=_OURS), columns=("event_id", "refs"))
+_rule("every_and_named_obj", "device :bbox 1500m NNEAR polygon(@, n0, n24)", _object_sql("nnear", "bbox", 1500.0, True, also=["n0", "n24"]), columns=("event_id", "refs"))
+_rule("match_told", "multiPoint(@) INTERSECTS device AND speed GT 40", _object_sql("intersects", None, 0.0, True).replace("string_agg(other, ',' ORDER BY other) AS refs", "'intersects:14:device:multiPoint gt:42:speed:int' AS matches").replace("WHERE meets", f"JOIN r USING (event_id) WHERE meets AND {_I('speed')} > 40"), columns=("event_id", "matches"))
+
 _BEFORE = "h AS (SELECT *, lead(t) OVER w AS until, lead(event_id) OVER w AS until_id FROM r WINDOW w AS (PARTITION BY layer_id, device_id ORDER BY t, event_id))"
 _SINCE = "(h.t, h.event_id) < (r.t, r.event_id) AND (h.until IS NULL OR (h.until, h.until_id) >= (r.t, r.event_id))"
-_PEERS = "d3 d17 d42".split()
 
 
-def _device_sql(op: str, shape: str | None, meters: float, every: bool) -> str:
+def _device_sql(op: str, shape: str | None, meters: float, every: bool, coarse: bool = False, other: tuple[str | None, float] = (None, 0.0)) -> str:
     wide = op in ("nintersects", "nnear")
     m = 50000.0 if wide else meters or 50.0
     y, x = f"{m} / {M}", f"{m} / {M} / cos(radians(r.lat))"
     near = f"abs(h.lat - r.lat) <= {y} AND abs(h.lon - r.lon) <= {x}" if every else f"h.device_id IN ({', '.join(repr(k) for k in _PEERS)})"
     cand = f"SELECT r.event_id, h.device_id AS other, r.lat, r.lon, h.lat AS lat2, h.lon AS lon2 FROM r JOIN h ON h.layer_id = r.layer_id AND h.device_id <> r.device_id AND {near} AND {_SINCE}"
-    test = "meets" if shape is None and op == "in" else "NOT meets" if shape is None and op == "nin" else _TEST[op]
-    return f"WITH r AS ({tables.telemetry_sql()}), {_BEFORE}, {_pairs_sql(cand, _ring_sql(shape, meters, 'lat', 'lon'), _ring_sql(None, 0.0, 'lat2', 'lon2'))} {_REFS} FROM facts WHERE {test} GROUP BY event_id"
+    # Where one side is a place, all operators ask whether the other side holds it.
+    test = _TEST[op] if shape and other[0] else "NOT meets" if op[0] == "n" and op != "near" else "meets"
+    return f"WITH r AS ({tables.telemetry_sql(coarse=coarse)}), {_BEFORE}, {_pairs_sql(cand, _ring_sql(shape, meters, 'lat', 'lon'), _ring_sql(*other, 'lat2', 'lon2'))} {_REFS} FROM facts WHERE {test} GROUP BY event_id"
 
 
 for _op in _TEST:
     for _name, (_shape, _m) in {"point": (None, 0.0), "bbox": ("bbox", 900.0), "radius": ("radius", 900.0)}.items():
         _all = _op in ("intersects", "near", "in") and _shape is not None
         _target = "devices(@)" if _all else f"devices({', '.join(_PEERS)})"
-        _rule(f"{_op}_dev_{_name}", f"device{_area_text(_shape, _m)} {_op} {_target}", _device_sql(_op, _shape, _m, _all), columns=("event_id", "refs"))
+        _rule(f"{_op}_dev_{_name}", f"device{_area_text(_shape, _m)} {_op} {_target}", _device_sql(_op, _shape, _m, _all, coarse=_shape is None), coarse=_shape is None, columns=("event_id", "refs"))
+    for _name, _mine, _other in (("radius_radius", ("radius", 2500.0), ("radius", 900.0)), ("bbox_bbox", ("bbox", 2500.0), ("bbox", 900.0)), ("point_radius", (None, 0.0), ("radius", 1500.0)), ("radius_bbox", ("radius", 2500.0), ("bbox", 900.0))):
+        _rule(f"{_op}_dev_{_name}", f"device{_area_text(*_mine)} {_op} devices({', '.join(_PEERS)}){_area_text(*_other)}", _device_sql(_op, *_mine, False, other=_other), columns=("event_id", "refs"))
+
+
+def _box_sql(at: str, of: str, meters: float) -> str:
+    """``of`` lies in the box around ``at`` (aliases of readings)."""
+    return f"abs({of}.lat - {at}.lat) <= {meters} / {M} AND abs({of}.lon - {at}.lon) <= {meters} / {M} / cos(radians({at}.lat))"
+
+
+_SEEN = f"JOIN h ON h.layer_id = r.layer_id AND {_SINCE}"
+_AND_OTHER = "h.device_id <> r.device_id"
+_LIST = "SELECT r.event_id, string_agg(h.device_id, ',' ORDER BY h.device_id) AS refs"
+for _op in ("nintersects", "nnear"):
+    # All devices within 50 km are looked at.
+    _rule(f"{_op}_dev_every", f"device :bbox 900m {_op} devices(@)", f"WITH r AS ({tables.telemetry_sql()}), {_BEFORE} SELECT r.event_id, count(*) AS n_refs FROM r {_SEEN} WHERE {_AND_OTHER} AND {_box_sql('r', 'h', 50000.0)} AND NOT ({_box_sql('r', 'h', 900.0)}) GROUP BY r.event_id", columns=("event_id", "n_refs"))
+_rule("layer_devices", "device :bbox 900m NEAR devices(@) { :layer L3 }", f"WITH r AS ({tables.telemetry_sql(True)}), {_BEFORE} {_LIST} FROM r {_SEEN} WHERE r.layer_id = 'L3' AND {_AND_OTHER} AND {_box_sql('r', 'h', 900.0)} GROUP BY r.event_id", layers=True, columns=("event_id", "refs"))
+_rule("own_position_compat", "device :bbox 900m NEAR devices(@)", f"WITH r AS ({tables.telemetry_sql()}), {_BEFORE} {_LIST} FROM r {_SEEN} WHERE {_box_sql('r', 'h', 900.0)} GROUP BY r.event_id", columns=("event_id", "refs"), compat=True)
+_rule("every_and_named_dev", "device :bbox 900m NEAR devices(@, d3)", f"WITH r AS ({tables.telemetry_sql()}), {_BEFORE} {_LIST} FROM r {_SEEN} WHERE {_AND_OTHER} AND {_box_sql('r', 'h', 900.0)} GROUP BY r.event_id", columns=("event_id", "refs"))
+_rule("set_vs_set", "devices(d3, d17) :bbox 4km INTERSECTS devices(d42, d8)", f"WITH r AS ({tables.telemetry_sql()}), {_BEFORE} {_LIST} FROM r {_SEEN} WHERE r.device_id IN ('d3', 'd17') AND h.device_id IN ('d42', 'd8') AND {_box_sql('r', 'h', 4000.0)} OR r.device_id IN ('d42', 'd8') AND h.device_id IN ('d3', 'd17') AND {_box_sql('h', 'r', 4000.0)} GROUP BY r.event_id", columns=("event_id", "refs"))
 
 _HAV = "CAST(round(2 * 6371000.0 * asin(sqrt(least(1.0, power(sin((radians({2}) - radians({0})) / 2), 2) + cos(radians({0})) * cos(radians({2})) * power(sin((radians({3}) - radians({1})) / 2), 2)))) / 50) * 50 AS BIGINT)"
 for _op, _sign in _SIGNS.items():
