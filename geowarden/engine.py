@@ -134,6 +134,19 @@ class Engine:
         y1, x1, _, _ = _around(top, 0.0, grow)
         return b[0] - (top - y1), b[1] + x1, b[2] + (top - y1), b[3] - x1
 
+    def reach(self, rule_id: str, center: tuple[float, float], radius: float) -> float:
+        """The radius that holds the box of a rule's objects around a centre: three times as large until it does, ten times at most."""
+        refs = self._rules[rule_id].compiled.object_refs()
+        b = self.objects.filter(F.col("object_id").isin(refs)).agg(F.min("min_lat"), F.min("min_lon"), F.max("max_lat"), F.max("max_lon")).first()
+        if b[0] is None:
+            raise RuleError("the rule names no object that is known")
+        for _ in range(11):
+            y1, x1, y2, x2 = _around(*center, radius)
+            if y1 <= b[0] and x1 <= b[1] and y2 >= b[2] and x2 >= b[3]:
+                return radius
+            radius *= 3
+        raise RuleError("no radius holds the rule's objects")
+
     # -- detection ----------------------------------------------------------------------------
 
     def evaluated(self, telemetry: DataFrame, history: DataFrame | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from math import cos, pi, radians, sin
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RADIUS_M = 6_371_000.0
@@ -128,6 +128,23 @@ def object_within(parts: str, a: str) -> str:
     return (f"forall({parts}, p -> forall(p.edges, e -> {_inside('e.y1', 'e.x1', a, 'g')} AND {_inside('e.y2', 'e.x2', a, 'h')}))")
 
 
+def relations(pairs: DataFrame, shape: str | None, meters: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """``pairs`` (a place and an object's parts) with ``intersects``, ``within`` (the object lies in the area around the place) and ``contains`` (the object holds the place)."""
+    mine = {"mine": area(shape, lat, lon, meters)}
+    return pairs.select("*", with_areas(mine, object_intersects("parts", "mine")).alias("intersects"), with_areas(mine, object_within("parts", "mine")).alias("within"), F.expr(f"exists(parts, p -> p.fill AND {_inside(lat, lon, 'p.edges', 'g')})").alias("contains"))
+
+
+def boundary(parts: str = "parts") -> Column:
+    """All edges of an object."""
+    return F.flatten(F.transform(parts, lambda p: p["edges"]))
+
+
+def clamped(meters: Column | float, least: float = 50.0, most: float = 50_000.0) -> Column:
+    """A search distance within its limits; nothing, zero and less are the least."""
+    m = meters if isinstance(meters, Column) else F.lit(meters)
+    return F.least(F.greatest(F.coalesce(m.cast("double"), F.lit(least)), F.lit(least)), F.lit(most))
+
+
 def sooner(shape: str | None, meters: float, meets: Column, within: Column) -> tuple[Column, Column]:
     """The tests of an object against an area, after arithmetic on the object's box has decided what it can.
 

@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geowarden.engine import Engine
+from geowarden.functions.geo import boundary, clamped, relations
+from geowarden.lang.check import TypeErrorInRule, compile_rule
+from geowarden.lang.parser import ParseError
 from geowarden.operators import stores
+from geowarden.operators.gate import lookup_state, remove_states, visits
 from geowarden.sources import geojson, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -330,6 +334,45 @@ def cover_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geojson.cover(tables.objects(spark, sf_dir), 0.01)
 
 
+def _cover_sql() -> str:
+    cell = "CAST(floor(CAST(0.01 AS DOUBLE) * 0 + {0} / CAST(0.01 AS DOUBLE)) AS BIGINT)"
+    cand = f"""SELECT y.c * 100000 + x.c AS event_id, o.object_id AS other, y.c AS cy, x.c AS cx, o.ring FROM (SELECT object_id, list({{'y': y, 'x': x}} ORDER BY i) AS ring, min(y) AS y1, max(y) AS y2, min(x) AS x1, max(x) AS x2 FROM o GROUP BY object_id) o,
+      generate_series({cell.format("o.y1")}, {cell.format("o.y2")}) y(c), generate_series({cell.format("o.x1")}, {cell.format("o.x2")}) x(c)"""
+    w = "CAST(0.01 AS DOUBLE)"
+    square = f"[{{'y': cy * {w}, 'x': cx * {w}}}, {{'y': cy * {w}, 'x': cx * {w} + {w}}}, {{'y': cy * {w} + {w}, 'x': cx * {w} + {w}}}, {{'y': cy * {w} + {w}, 'x': cx * {w}}}, {{'y': cy * {w}, 'x': cx * {w}}}]"
+    return f"WITH o AS ({tables.corners_sql()}), {_pairs_sql(cand, square, 'ring')}, cells AS (SELECT other AS object_id, '' AS layer_id, cy AS cell_y, cx AS cell_x FROM facts JOIN cand USING (event_id, other) WHERE meets)"
+
+
+ORACLE["cover_cells"] = f"{_cover_sql()} SELECT * FROM cells"
+
+
+@query
+def cover_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geojson.index_counts(geojson.cover(tables.objects(spark, sf_dir), 0.01))
+
+
+ORACLE["cover_counts"] = f"{_cover_sql()} SELECT object_id, count(*) AS n_cells FROM cells GROUP BY object_id"
+
+
+@query
+def cover_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geojson.cells_by_host(geojson.cover(tables.objects(spark, sf_dir), 0.01), 5)
+
+
+ORACLE["cover_by_host"] = f"{_cover_sql()} SELECT ((cell_y * 31 + cell_x) % 5 + 5) % 5 AS host, cell_y, cell_x, count(DISTINCT object_id) AS objects FROM cells GROUP BY ALL"
+
+
+@query
+def cover_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells as FeatureCollections, read again."""
+    found = geojson.cells_to_geojson(geojson.cover(tables.objects(spark, sf_dir), 0.01))
+    kind, n = F.get_json_object("geojson", "$.type"), F.json_array_length(F.get_json_object("geojson", "$.features"))
+    return found.select("object_id", kind.alias("kind"), n.cast("long").alias("n_features"), F.get_json_object("geojson", "$.features[0].geometry.type").alias("shape"))
+
+
+ORACLE["cover_export"] = f"{_cover_sql()} SELECT object_id, 'FeatureCollection' AS kind, count(*) AS n_features, 'Polygon' AS shape FROM cells GROUP BY object_id"
+
+
 @query
 def geojson_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects written as GeoJSON and read again."""
@@ -341,3 +384,241 @@ def geojson_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["geojson_parse"] = f"WITH o AS ({tables.corners_sql()}) SELECT object_id, 'polygon' AS kind, CAST(4 AS INTEGER) AS n_edges, CAST(round(min(y) * 1e6) AS BIGINT) AS min_lat, CAST(round(max(x) * 1e6) AS BIGINT) AS max_lon FROM o GROUP BY object_id"
+
+
+# -- layers of targets, states, stores and rules ------------------------------------------------
+
+_d = _HAV.format("r.lat", "r.lon", "h.lat", "h.lon")
+_rule("dist_dev_layers", f"device :radius 3km lt devices({', '.join(_PEERS)}) {{ :layer L3 }}", f"WITH r AS ({tables.telemetry_sql(True)}), {_BEFORE} {_LIST} FROM r JOIN h ON {_SINCE} WHERE r.layer_id = 'L3' AND h.device_id IN ({', '.join(repr(k) for k in _PEERS)}) AND {_d} < 3000 GROUP BY r.event_id", layers=True, columns=("event_id", "refs"))
+
+_TIMES = "speed gt 20 { :trigger 3 times interval 5h :reset after 120h }"
+_LAST_STATE = _gate_sql(_FAST, "(SEEN IS NULL OR q.t - SEEN >= 18000) AND HITS < 3", 432000).replace("SELECT event_id FROM s WHERE fires", "SELECT device_id, CAST(hits AS INTEGER) AS hits, CAST(last_seen AS DOUBLE) AS last_seen, CAST(last_reset AS DOUBLE) AS last_reset FROM s WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY n DESC) = 1")
+
+
+def _states(spark: SparkSession, sf_dir: str) -> tuple[Engine, DataFrame]:
+    engine = Engine(spark, tables.objects(spark, sf_dir))
+    engine.add_rule(_TIMES, "times")
+    return engine, tables.telemetry(spark, sf_dir)
+
+
+@query
+def states_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot of firing states."""
+    engine, readings = _states(spark, sf_dir)
+    return engine.states(readings).select("device_id", "hits", "last_seen", "last_reset")
+
+
+ORACLE["states_after"] = _LAST_STATE
+
+
+@query
+def states_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same states, from a snapshot half way that is taken up again."""
+    engine, readings = _states(spark, sf_dir)
+    early = F.dayofmonth("ts") <= 12
+    return engine.states(readings.filter(~early), engine.states(readings.filter(early))).select("device_id", "hits", "last_seen", "last_reset")
+
+
+ORACLE["states_restored"] = _LAST_STATE
+
+
+@query
+def states_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States without those of a device, and without one key."""
+    engine, readings = _states(spark, sf_dir)
+    kept = remove_states(remove_states(engine.states(readings), device_id="d3"), device_id="d17", rule_id="times")
+    return remove_states(kept, device_id="d42", rule_id="other").select("device_id", "hits")
+
+
+ORACLE["states_removed"] = f"SELECT device_id, hits FROM ({_LAST_STATE}) WHERE device_id NOT IN ('d3', 'd17')"
+
+
+@query
+def state_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, readings = _states(spark, sf_dir)
+    return lookup_state(engine.states(readings), "d3", "times").select("device_id", "hits", "last_reset")
+
+
+ORACLE["state_lookup"] = f"SELECT device_id, hits, last_reset FROM ({_LAST_STATE}) WHERE device_id = 'd3'"
+
+
+@query
+def last_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each device was last in each object."""
+    engine = Engine(spark, tables.objects(spark, sf_dir))
+    engine.add_rule("device INTERSECTS polygon(@)", "inside")
+    return visits(engine.detect(tables.telemetry(spark, sf_dir))).select("device_id", "object_id", "last_visit")
+
+
+ORACLE["last_visits"] = f"SELECT device_id, object_id, max(t) AS last_visit FROM ({tables.telemetry_sql()}) JOIN (SELECT event_id, unnest(string_split(refs, ',')) AS object_id FROM ({_object_sql('intersects', None, 0.0, True)})) USING (event_id) GROUP BY ALL"
+
+
+@query
+def devices_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stores.lookup(stores.latest(tables.telemetry(spark, sf_dir)), "device_id", "d3").select("device_id", "event_id", "lat", "lon")
+
+
+ORACLE["devices_lookup"] = f"{_LAST} SELECT device_id, event_id, lat, lon FROM l WHERE device_id = 'd3'"
+
+
+@query
+def devices_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices in one cell."""
+    return stores.in_cells(stores.latest(tables.telemetry(spark, sf_dir)), 2146, -3614, 0.02).select("device_id")
+
+
+ORACLE["devices_each"] = f"{_LAST} SELECT device_id FROM l WHERE floor(lat / 0.02::DOUBLE) = 2146 AND floor(lon / 0.02::DOUBLE) = -3614"
+
+
+@query
+def devices_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of the first days, then all later readings."""
+    readings = tables.telemetry(spark, sf_dir)
+    early = F.dayofmonth("ts") <= 12
+    return stores.upsert(stores.latest(readings.filter(early)), readings.filter(~early)).select("device_id", "event_id")
+
+
+ORACLE["devices_upsert"] = f"{_LAST} SELECT device_id, event_id FROM l"
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GeoJSON texts of all kinds, some of them broken, one per nation."""
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    y, x = (k % 5).cast("double") + 40.0, F.floor(k / 5).cast("double") - 70.0
+    at = lambda dx, dy: F.format_string("[%.3f,%.3f]", x + dx, y + dy)
+    line = F.concat(F.lit("["), at(0.0, 0.0), F.lit(","), at(0.25, 0.5), F.lit("]"))
+    ring = F.concat(F.lit("["), at(0.0, 0.0), F.lit(","), at(0.25, 0.0), F.lit(","), at(0.25, 0.5), F.lit(","), at(0.0, 0.0), F.lit("]"))
+    one = lambda kind, coordinates: F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), *coordinates, F.lit("}"))
+    point = one("Point", [at(0.0, 0.0)])
+    texts = [
+        point, one("MultiPoint", [line]), one("LineString", [line]), one("MultiLineString", [F.lit("["), line, F.lit("]")]), one("Polygon", [F.lit("["), ring, F.lit("]")]), one("MultiPolygon", [F.lit("[["), ring, F.lit("]]")]),
+        F.concat(F.lit('{"type":"GeometryCollection","geometries":['), point, F.lit(","), one("LineString", [line]), F.lit("]}")),
+        F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), point, F.lit("}")),
+        F.concat(F.lit('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":'), one("LineString", [line]), F.lit("}]}")),
+        one("Polygon", [F.lit("["), line, F.lit("]")]), F.lit('{"type":"Circle"}'), F.lit("no json"), F.lit(None).cast("string"),
+    ]
+    chosen = F.lit(None).cast("string")
+    for n, t in enumerate(texts):
+        chosen = F.when(k % len(texts) == n, t).otherwise(chosen)
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("n"), k.cast("string")).alias("object_id"), name.alias("layer_id"), chosen.alias("geojson"))
+
+
+_KINDS = "(VALUES (0, 'point', 1, 0.0), (1, 'multiPoint', 2, 0.5), (2, 'line', 1, 0.5), (3, 'multiLine', 1, 0.5), (4, 'polygon', 1, 0.5), (5, 'multiPolygon', 1, 0.5), (6, 'collection', 2, 0.5), (7, 'feature', 1, 0.0), (8, 'featureCollection', 1, 0.5)) AS k(i, kind, n_parts, high)"
+
+
+@query
+def geojson_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = geojson.read_objects(_shapes(spark, sf_dir))
+    return found.select("object_id", "layer_id", "kind", F.size("parts").alias("n_parts"), "min_lat", "max_lat", F.size(boundary()).alias("n_edges"))
+
+
+ORACLE["geojson_kinds"] = f"SELECT 'n' || n_nationkey AS object_id, n_name AS layer_id, kind, n_parts, 40.0::DOUBLE + n_nationkey % 5 AS min_lat, 40.0::DOUBLE + n_nationkey % 5 + high::DOUBLE AS max_lat, CASE kind WHEN 'multiPoint' THEN 2 WHEN 'polygon' THEN 3 WHEN 'multiPolygon' THEN 3 WHEN 'collection' THEN 2 ELSE 1 END AS n_edges FROM nation JOIN {_KINDS} ON i = n_nationkey % 13"
+
+
+@query
+def geojson_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geojson.invalid(_shapes(spark, sf_dir)).select("object_id")
+
+
+ORACLE["geojson_invalid"] = "SELECT 'n' || n_nationkey AS object_id FROM nation WHERE n_nationkey % 13 >= 9"
+
+
+@query
+def objects_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects added twice, some deleted, and those of one cell."""
+    engine = Engine(spark)
+    engine.add_objects(_shapes(spark, sf_dir))
+    engine.add_objects(_shapes(spark, sf_dir).withColumn("layer_id", F.lit("second")))
+    engine.delete_objects(["n1", "n14"])
+    in_cell = stores.in_cells(engine.objects, 20, -35, 2.0).select("object_id", F.lit("each").alias("how"), "layer_id")
+    found = stores.lookup(engine.objects, "object_id", "n2").select("object_id", F.lit("lookup").alias("how"), "layer_id")
+    return engine.objects.select("object_id", F.lit("all").alias("how"), "layer_id").unionByName(in_cell).unionByName(found)
+
+
+ORACLE["objects_store"] = """WITH o AS (SELECT 'n' || n_nationkey AS object_id, n_name AS layer_id, n_nationkey AS k FROM nation WHERE n_nationkey % 13 < 9 AND n_nationkey NOT IN (1, 14))
+  SELECT object_id, 'all' AS how, layer_id FROM o UNION ALL SELECT object_id, 'lookup', layer_id FROM o WHERE k = 2
+  UNION ALL SELECT object_id, 'each', layer_id FROM o WHERE k % 5 < 2 AND k // 5 BETWEEN 0 AND 1"""
+
+
+@query
+def object_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object against the 1.5 km boxes around all suppliers' places."""
+    k = F.col("s_suppkey")
+    places = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("place_id"), (F.lit(42.90) + (k * 37 % 1000).cast("double") / F.lit(10000.0)).alias("lat"), (F.lit(-72.30) + (k * 91 % 1000).cast("double") / F.lit(10000.0)).alias("lon"), F.lit("").alias("layer_id"))
+    pairs = places.join(tables.objects(spark, sf_dir).select("layer_id", "object_id", "parts"), "layer_id")
+    return relations(pairs, "bbox", 1500.0).select("place_id", "object_id", "intersects", "within", "contains")
+
+
+def _relations_sql() -> str:
+    places = "SELECT s_suppkey AS event_id, CAST(42.90 AS DOUBLE) + CAST(s_suppkey * 37 % 1000 AS DOUBLE) / CAST(10000 AS DOUBLE) AS lat, CAST(-72.30 AS DOUBLE) + CAST(s_suppkey * 91 % 1000 AS DOUBLE) / CAST(10000 AS DOUBLE) AS lon FROM supplier"
+    cand = f"SELECT event_id, object_id AS other, lat, lon, ring FROM ({places}) p, (SELECT object_id, list({{'y': y, 'x': x}} ORDER BY i) AS ring FROM o GROUP BY object_id) o"
+    inside = "list_bool_and(list_transform(range(1, len(ring)), lambda i: (ring[i + 1].x - ring[i].x) * (lat - ring[i].y) - (ring[i + 1].y - ring[i].y) * (lon - ring[i].x) >= 0)) OR list_bool_and(list_transform(range(1, len(ring)), lambda i: (ring[i + 1].x - ring[i].x) * (lat - ring[i].y) - (ring[i + 1].y - ring[i].y) * (lon - ring[i].x) <= 0))"
+    return f"WITH o AS ({tables.corners_sql()}), {_pairs_sql(cand, _ring_sql('bbox', 1500.0, 'lat', 'lon'), 'ring')} SELECT event_id AS place_id, other AS object_id, meets AS intersects, within, ({inside}) AS contains FROM facts JOIN cand USING (event_id, other)"
+
+
+ORACLE["object_relations"] = _relations_sql()
+
+
+@query
+def rules_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules as a table: centre and box from the objects they name, restored from their own snapshot, one deleted."""
+    engine = Engine(spark, tables.objects(spark, sf_dir))
+    for k in range(6):
+        engine.add_rule(f"device :radius 500m INTERSECTS polygon(n{k}, n{k + 7}) AND speed gt {k}", f"r{k}")
+    again = Engine(spark, tables.objects(spark, sf_dir))
+    again.restore_rules(engine.rules)
+    again.delete_rule("r2")
+    e6 = lambda c: F.round(F.col(c) * 1e6).cast("long").alias(c)
+    return again.rules.select("rule_id", "spec", e6("center_lat"), e6("center_lon"), F.array_join("refs", ",").alias("refs"), (F.col("max_lat") > F.col("center_lat")).alias("has_box"))
+
+
+ORACLE["rules_store"] = f"""WITH o AS ({tables.corners_sql()}), k AS (SELECT unnest([0, 1, 3, 4, 5]) AS k),
+  c AS (SELECT k, (min(y) + max(y)) / 2 AS y, (min(x) + max(x)) / 2 AS x FROM k JOIN o ON object_id IN ('n' || k, 'n' || (k + 7)) GROUP BY k)
+  SELECT 'r' || k AS rule_id, 'device :radius 500m INTERSECTS polygon(n' || k || ', n' || (k + 7) || ') AND speed gt ' || k AS spec, CAST(round(y * 1e6) AS BIGINT) AS center_lat, CAST(round(x * 1e6) AS BIGINT) AS center_lon, 'n' || k || ',n' || (k + 7) AS refs, true AS has_box FROM c"""
+
+
+@query
+def rule_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Radius that grows until it holds a rule's objects, and cells of the rule's area."""
+    engine = Engine(spark, tables.objects(spark, sf_dir))
+    engine.add_rule("device IN polygon(n0, n24)", "far")
+    engine.add_rule("speed gt 5 { :center 42.95 -72.25 :radius 2km }", "round")
+    return spark.createDataFrame([("reach", engine.reach("far", (42.95, -72.25), 500.0))], "what string, value double").unionByName(engine.region_ids("round", 0.01).agg(F.lit("cells").alias("what"), F.count("*").cast("double").alias("value")))
+
+
+ORACLE["rule_reach"] = f"""WITH o AS ({tables.corners_sql()}), b AS (SELECT min(y) AS y1, max(y) AS y2, min(x) AS x1, max(x) AS x2 FROM o WHERE object_id IN ('n0', 'n24')),
+  r AS (SELECT 500.0 * power(3, i) AS m FROM range(11) t(i)),
+  h AS (SELECT 2000 / {M} AS y, 2000 / {M} / cos(radians(42.95)) AS x)
+  SELECT 'reach' AS what, CAST(min(m) AS DOUBLE) AS value FROM r, b WHERE 42.95 - m / {M} <= y1 AND 42.95 + m / {M} >= y2 AND -72.25 - m / {M} / cos(radians(42.95)) <= x1 AND -72.25 + m / {M} / cos(radians(42.95)) >= x2
+  UNION ALL SELECT 'cells', CAST((floor((42.95 + y) / 0.01::DOUBLE) - floor((42.95 - y) / 0.01::DOUBLE) + 1) * (floor((-72.25 + x) / 0.01::DOUBLE) - floor((-72.25 - x) / 0.01::DOUBLE) + 1) AS DOUBLE) FROM h"""
+
+
+@query
+def clamped_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", clamped(F.col("s_acctbal") * 10).alias("meters"))
+
+
+ORACLE["clamped_distance"] = "SELECT s_suppkey, least(greatest(coalesce(s_acctbal * 10, 50), 50), 50000) AS meters FROM supplier"
+
+#: Texts that are no rules, and one that is.
+WRONG = (
+    "speed eq \"fast\"", "model lt 5", "speed in [1 .. 2]", "speed range [1, 2]", "time in [10:00, 11:00]", "model range [\"a\" .. \"b\"]", "speed range [5 .. 1]", "datetime lt \"2024-01-01T00:00:00\"",
+    "devices(@) IN polygon(@)", "devices(@) NEAR devices(@)", "device IN device", "polygon(a) IN polygon(b)", "device :radius 1km lt devices(@)", "device lt objects(a)", "speed eq 1 AND", "speed eq 1",
+)
+
+
+@query
+def rule_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kind(text: str) -> str:
+        try:
+            compile_rule(text)
+        except TypeErrorInRule:
+            return "types"
+        except ParseError:
+            return "text"
+        return "none"
+
+    return spark.createDataFrame([(t, kind(t)) for t in WRONG], "spec string, error string")
+
+
+ORACLE["rule_errors"] = "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{'none' if t == 'speed eq 1' else 'text' if t.endswith('AND') else 'types'}')" for t in WRONG) + ") AS t(spec, error)"

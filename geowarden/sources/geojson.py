@@ -109,6 +109,17 @@ def cover(objects: DataFrame, size: float = 0.1) -> DataFrame:
     return filed.withColumn("cell", ring).filter(F.expr(object_intersects("parts", "cell"))).select("object_id", "layer_id", "cell_y", "cell_x")
 
 
+def index_counts(cells: DataFrame) -> DataFrame:
+    """``object_id, n_cells``: distinct cells of each object."""
+    return cells.groupBy("object_id").agg(F.count_distinct("cell_y", "cell_x").alias("n_cells"))
+
+
+def cells_by_host(cells: DataFrame, hosts: int) -> DataFrame:
+    """``host, cell_y, cell_x, objects``: the distinct cells by the host that a hash of the cell gives them to."""
+    at = cells.select(F.pmod(F.col("cell_y") * 31 + F.col("cell_x"), F.lit(hosts)).alias("host"), "cell_y", "cell_x", "object_id")
+    return at.groupBy("host", "cell_y", "cell_x").agg(F.count_distinct("object_id").alias("objects"))
+
+
 def cells_to_geojson(cells: DataFrame, size: float = 0.1) -> DataFrame:
     """``object_id, geojson``: an object's cells as a FeatureCollection of squares."""
     y, x = F.col("cell_y") * size, F.col("cell_x") * size
