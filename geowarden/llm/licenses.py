@@ -1,11 +1,11 @@
 """Licence scans by diagonal voting, in DataFrame functions only.
 
-All rolling word 4-gram hashes of all texts are joined to the positions they have in the notices
-below (a table fixed in this file, a few hundred rows, broadcast).  Every match votes for the
+All rolling word 4-grams of all texts are joined to the positions they have in the notices below (a
+table fixed in this file, below two thousand rows, broadcast): the hash join finds a gram by its
+hash and compares its words, so every match is verified.  Every match votes for the
 diagonal ``position in text - position in notice``; diagonals that lie close together are merged,
 so that a few words put in or left out do not break a match; a merged span counts if it holds
-enough of the notice's distinct grams, in a stretch not much longer than the notice, and if the
-words themselves, not only their hashes, are enough of the notice's.
+enough of the notice's distinct grams, in a stretch not much longer than the notice.
 """
 
 from __future__ import annotations
@@ -65,8 +65,8 @@ def words(text: str) -> Column:
 
 
 def _grams(name: str) -> Column:
-    """Hash of the GRAM words from each word on (fewer at the end; those are left out after the join)."""
-    return F.expr(f"transform({name}, (w, i) -> xxhash64(w, {', '.join(f'get({name}, i + {k})' for k in range(1, GRAM))}))")
+    """The GRAM words from each word on (fewer at the end, which are no gram of a notice)."""
+    return F.expr(f"transform({name}, (w, i) -> concat_ws(' ', w, {', '.join(f'get({name}, i + {k})' for k in range(1, GRAM))}))")
 
 
 def _places(name: str) -> Column:
@@ -81,27 +81,22 @@ def _places(name: str) -> Column:
 def _templates(spark: SparkSession) -> DataFrame:
     rows = ", ".join(f"({t}, '{label}', {len(ws := text.split())}, {i}, '{' '.join(ws[i : i + GRAM])}')" for t, (label, text) in enumerate(NOTICES) for i in range(len(text.split()) - GRAM + 1))
     table = spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, label, size, at, gram)")
-    parts = [F.split("gram", " ")[k] for k in range(GRAM)]
-    return table.select("template", "label", "size", "at", F.xxhash64(*parts).alias("h"))
-
-
-def _terms(spark: SparkSession) -> DataFrame:
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({t}, array({', '.join(map(repr, dict.fromkeys(text.split())))}))" for t, (_, text) in enumerate(NOTICES)) + " AS t(template, terms)")
+    return table.withColumnRenamed("gram", "g")
 
 
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, h`` (of doc_id and text), ``label, first, last`` (words of the text), ``cover`` and ``terms`` (the notice's distinct words) of every notice that the grams find."""
+    """``doc_id, h`` (of doc_id and text), ``label, first, last`` (words of the text) and ``cover`` of every notice found."""
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("h"), words(text).alias("words"))
-    rolling = split.select("doc_id", "h", F.size("words").alias("n"), F.posexplode(_grams("words")).alias("pos", "g"))
-    known = _templates(docs.sparkSession).withColumnRenamed("h", "g")
-    votes = rolling.join(F.broadcast(known), "g").filter(F.col("pos") <= F.col("n") - GRAM).select("doc_id", "h", "template", "label", "size", "pos", "at").distinct()
+    rolling = split.select("doc_id", "h", F.posexplode(_grams("words")).alias("pos", "g"))
+    known = _templates(docs.sparkSession)
+    votes = rolling.join(F.broadcast(known), "g").select("doc_id", "h", "template", "label", "size", "pos", "at").distinct()
     votes = votes.withColumn("diagonal", F.col("pos") - F.col("at"))
     by = Window.partitionBy("doc_id", "h", "template").orderBy("diagonal", "pos")
     apart = (F.col("diagonal") - F.lag("diagonal").over(by) > NEAR).cast("int")
     merged = votes.withColumn("run", F.sum(F.coalesce(apart, F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     found = merged.groupBy("doc_id", "h", "template", "label", "size", "run").agg(F.min("pos").alias("first"), (F.max("pos") + GRAM - 1).alias("last"), F.countDistinct("at").alias("grams"))
     found = found.withColumn("cover", F.col("grams") / (F.col("size") - GRAM + 1))
-    return found.filter((F.col("cover") >= COVER) & (F.col("last") - F.col("first") + 1 <= STRETCH * F.col("size"))).join(F.broadcast(_terms(docs.sparkSession)), "template").select("doc_id", "h", "label", "first", "last", "cover", "terms")
+    return found.filter((F.col("cover") >= COVER) & (F.col("last") - F.col("first") + 1 <= STRETCH * F.col("size"))).select("doc_id", "h", "label", "first", "last", "cover")
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -116,12 +111,9 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     may = low.contains("license") | low.contains("cc")
     none = F.array().cast("array<struct<start:bigint,label:string>>")
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("h"), F.coalesce(may, F.lit(False)).alias("may"), words(text).alias("words"))
-    base = split.select("doc_id", "h", F.size("words").cast("long").alias("n_words"), F.when(F.col("may"), _places("words")).otherwise(none).alias("places"), "words")
-    own = spans(docs, text).groupBy("doc_id", "h").agg(F.collect_set(F.struct("label", "first", "last", "cover", "terms")).alias("spans")).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "spans")
+    base = split.select("doc_id", "h", F.size("words").cast("long").alias("n_words"), F.when(F.col("may"), _places("words")).otherwise(none).alias("places"))
+    own = spans(docs, text).groupBy("doc_id", "h").agg(F.collect_set("label").alias("found"), F.max("cover").alias("cover")).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), "found", "cover")
     joined = base.join(own, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")), "left")
-    # A span is a whole notice's only if the words in it are: hashes alone don't decide.
-    right = lambda s: F.size(F.array_intersect(s["terms"], F.slice("words", (s["first"] + 1).cast("int"), (s["last"] - s["first"] + 1).cast("int")))) >= COVER * F.size(s["terms"])
-    joined = joined.withColumn("spans", F.filter("spans", right)).withColumn("found", F.col("spans.label")).withColumn("cover", F.array_max("spans.cover"))
     starts, labels = F.col("places.start"), F.array_distinct(F.col("places.label"))
     empty = F.array().cast("array<string>")
     return joined.select(

@@ -26,8 +26,8 @@ def brute(text):
             runs[-1].append(v)
         for r in runs:
             c = len({a for _, _, a in r}) / (len(t) - GRAM + 1)
-            low, reach = min(p for _, p, _ in r), max(p for _, p, _ in r) + GRAM - min(p for _, p, _ in r)
-            if c >= COVER and reach <= STRETCH * len(t) and len(set(t) & set(ws[low : low + reach])) >= COVER * len(set(t)):
+            reach = max(p for _, p, _ in r) + GRAM - min(p for _, p, _ in r)
+            if c >= COVER and reach <= STRETCH * len(t):
                 found.add(label)
                 cover = max(cover, c)
     starts, base = [i for i, _ in places], {x for _, x in places}
