@@ -145,6 +145,13 @@ def clamped(meters: Column | float, least: float = 50.0, most: float = 50_000.0)
     return F.least(F.greatest(F.coalesce(m.cast("double"), F.lit(least)), F.lit(least)), F.lit(most))
 
 
+_AT = "named_struct('ax', (e.x1 - lon) * cos(radians(lat)), 'ay', e.y1 - lat, 'dx', (e.x2 - e.x1) * cos(radians(lat)), 'dy', e.y2 - e.y1)"
+_SHARE = "greatest(0D, least(1D, -(v.ax * v.dx + v.ay * v.dy) / greatest(v.dx * v.dx + v.dy * v.dy, 1e-18D)))"
+#: Squared distance, in degrees of latitude, from a place (lat, lon) to the nearest edge and to the farthest corner of an object.
+_NEAREST = f"array_min(transform(transform(flatten(parts.edges), e -> {_AT}), v -> pow(v.ax + {_SHARE} * v.dx, 2) + pow(v.ay + {_SHARE} * v.dy, 2)))"
+_FARTHEST = f"array_max(transform(transform(flatten(parts.edges), e -> {_AT}), v -> greatest(pow(v.ax, 2) + pow(v.ay, 2), pow(v.ax + v.dx, 2) + pow(v.ay + v.dy, 2))))"
+
+
 def sooner(shape: str | None, meters: float, meets: Column, within: Column) -> tuple[Column, Column]:
     """The tests of an object against an area, after arithmetic on the object's box has decided what it can.
 
@@ -164,11 +171,16 @@ def sooner(shape: str | None, meters: float, meets: Column, within: Column) -> t
         over = (far_y > 1.001 * high) | (far_x > 1.001 * wide)
     else:
         # A regular 12-gon holds all within cos(15 degrees) = 0.966 of its radius and nothing beyond it.
-        level = F.abs(lat) < 80
-        out = level & (haversine(lat, lon, inside_y, inside_x) > 1.01 * meters)
-        some = level & (haversine(lat, lon, y, x) < 0.96 * meters)
-        every = (F.abs(lat) < 60) & (F.pow(far_y / high, 2) + F.pow(far_x / wide, 2) < 0.9)
-        over = level & (haversine(lat, lon, y, x) > 1.01 * meters)
+        # Below 60 degrees of latitude degrees scaled at the place are within a hundredth of the truth.
+        level = F.abs(lat) < 60
+        box = F.pow((inside_y - lat) / high, 2) + F.pow((inside_x - lon) / wide, 2)
+        near, far = F.expr(_NEAREST) / F.pow(high, 2), F.expr(_FARTHEST) / F.pow(high, 2)
+        around = F.expr(f"exists(parts, p -> p.fill AND {_inside('lat', 'lon', 'p.edges', 'g')})")
+        corner = F.pow((y - lat) / high, 2) + F.pow((x - lon) / wide, 2)
+        outside = level & (box > 1.04)
+        meets = F.when(outside, False).when(~level, meets).when(corner < 0.9, True).when(near < 0.9, True).when(near > 1.04, around).otherwise(meets)
+        within = F.when(outside | level & (corner > 1.04), False).when(~level, within).when(far < 0.9, True).when(far > 1.04, False).otherwise(within)
+        return meets, within
     return F.when(out, False).when(some, True).otherwise(meets), F.when(out | over, False).when(every, True).otherwise(within)
 
 
