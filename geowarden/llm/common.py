@@ -18,10 +18,16 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that all executors share; one of our own only where none is set."""
+    """The folder for checkpoints that all executors share (``spark.checkpoint.dir``).
+
+    One of our own only where none is set and all runs in one process, as in tests: a cluster has
+    to name its folder, as a machine's own would lose data with the machine.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 

@@ -289,7 +289,8 @@ def _removal(window: int, block: int, want: str):
 
 
 def _placed(docs: DataFrame, row: Column, text: str, parts: int) -> DataFrame:
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.substring(F.col(text).cast("string"), 1, 100)), F.lit(parts))
+    """Texts by a hash of doc_id and whole text, so that neither a hot source nor a common header nor null ids fill a part."""
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.col(text).cast("string")), F.lit(parts))
     return docs.select(part.alias("part"), row.alias("row"), body(text).alias("text"))
 
 

@@ -46,3 +46,30 @@ def test_text_that_is_left(spark):
     rows = [(1, f"first  line\n{passage} end\n"), (2, f"{passage}\nother"), (3, f"clean\ttext  stays\n")]
     left = {r.doc_id: r.text for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert left == {1: "first  line\nend\n", 2: "other", 3: "clean\ttext  stays\n"}
+
+
+def test_null_ids_and_a_common_header_spread(spark):
+    from geowarden.llm.substrings import _placed
+
+    rows = [(None, "the same header of every page " * 5 + str(k)) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [r["count"] for r in _placed(docs, docs["doc_id"], "text", 64).groupBy("part").count().collect()]
+    assert len(sizes) > 55 and max(sizes) < 30
+
+
+def test_a_cluster_has_to_name_its_folder():
+    import pytest
+
+    from geowarden.llm.common import shared_folder
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session())
