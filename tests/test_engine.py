@@ -198,3 +198,71 @@ def test_calendar_words(spark):
     for k, text in enumerate(yes + no):
         engine.add_rule(text, str(k))
     assert {int(r.rule.rule_id) for r in engine.detect(readings).collect()} == set(range(len(yes)))
+
+
+def test_across_the_antimeridian(spark):
+    """Two devices 200 m apart on either side of 180 degrees, and an object beside it."""
+    stored = [(O, -17.0, 179.9991)]
+    for text in ("device :radius 5km NEAR devices(@)", f"device :radius 5km NEAR devices({O})", "device :bbox 5km INTERSECTS devices(@)"):
+        assert [m[0].right.refs for m in run(spark, text, (-17.0, -179.9990), stored)] == [[O]], text
+    ring = [(179.99, -17.01), (179.999, -17.01), (179.999, -16.99), (179.99, -16.99), (179.99, -17.01)]
+    objects = spark.createDataFrame([(P, "", json.dumps({"type": "Polygon", "coordinates": [ring]}))], "object_id string, layer_id string, geojson string")
+    assert [m[0].right.refs for m in run(spark, "device :radius 1km NEAR polygon(@)", (-17.0, -179.999), [], objects)] == [[P]]
+    assert run(spark, "device :radius 100m NEAR polygon(@)", (-17.0, -179.99), [], objects) == []
+    places = spark.createDataFrame([(1, -17.0, -179.999)], "place_id int, place_lat double, place_lon double")
+    devices = spark.createDataFrame([("a", -17.0, 179.9991), ("b", -17.0, 179.0)], "device_id string, lat double, lon double")
+    assert [r.device_id for r in stores.near_devices_of(places, devices, 1000.0).collect()] == ["a"]
+    assert [r.device_id for r in stores.near_devices(devices, -17.0, -179.999, 1000.0).collect()] == ["a"]
+
+
+def test_intervals_of_any_length(spark):
+    """Positions that hold for seconds, hours and years, against the definition; a silent device is filed once."""
+    from geowarden.operators.candidates import BLOCKS_S, _blocks, intervals, near_devices
+    from geowarden.plans.detect import normalise
+
+    rng = random.Random(21)
+    rows = []
+    for k in range(400):
+        moment = T0 + timedelta(seconds=round(10 ** rng.uniform(0, 8.2)))
+        rows.append((k, f"d{rng.randrange(12)}", moment, 42.9 + rng.random() * 0.02, -72.3 + rng.random() * 0.02, 0.0, ""))
+    readings = normalise(spark.createDataFrame(rows, SCHEMA))
+    got = sorted((r.event_id, r.other_id, r.other_lat) for r in near_devices(readings, readings, 900.0, True, ()).collect())
+    want = []
+    for e, d, t, y, x, _, _ in rows:
+        last = {}
+        for e2, d2, t2, y2, x2, _, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+            if d2 != d and (t2, e2) < (t, e):
+                last[d2] = (y2, x2)
+        high = 900.0 / 111194.92664455873
+        from math import cos, radians
+        want += [(e, k, y2) for k, (y2, x2) in last.items() if abs(y2 - y) <= high and abs(x2 - x) <= high / cos(radians(y))]
+    assert got == sorted(want)
+    filed = _blocks(intervals(readings)).groupBy("event_id", "until").count().collect()
+    assert max(r["count"] for r in filed if r.until is None) == 1 and max(r["count"] for r in filed) <= 18 and len(BLOCKS_S) == 6
+
+
+def test_large_boxes_have_few_cells(spark):
+    from geowarden.operators.candidates import over_levels
+
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 60.0, 60.0), (2, 0.0, 0.0, 0.3, 0.3), (3, -90.0, -180.0, 90.0, 180.0)], "id int, a double, b double, c double, d double")
+    rows = over_levels(boxes, 0.1, F.col("a"), F.col("b"), F.col("c"), F.col("d")).groupBy("id").count().collect()
+    assert {r["id"] for r in rows} == {1, 2, 3} and max(r["count"] for r in rows) <= 100
+
+
+def test_readings_without_a_time_are_set_apart(spark):
+    from geowarden.plans.detect import untimed
+
+    rows = [(1, D, None, 42.9, -72.3, 50.0, ""), (2, D, at(1), 42.9, -72.3, 50.0, ""), (3, D, None, 42.9, -72.3, 50.0, ""), (4, D, at(2), 42.9, -72.3, 50.0, "")]
+    readings = spark.createDataFrame(rows, SCHEMA)
+    engine = Engine(spark)
+    engine.add_rule("speed gt 20 { :trigger once }", "r")
+    assert [r.event_id for r in engine.detect(readings).collect()] == [2]
+    assert sorted(r.event_id for r in untimed(readings).collect()) == [1, 3]
+
+
+def test_hook_after_and_nested_brackets(spark, polygon):
+    seen = []
+    engine = Engine(spark, after=lambda df: seen.append(df.count()))
+    engine.add_rule("(" * 900 + "speed gt 20" + ")" * 900, "deep")
+    engine.detect(spark.createDataFrame([(1, D, at(1), 42.9, -72.3, 50.0, "")], SCHEMA)).collect()
+    assert seen == [1]

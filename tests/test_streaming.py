@@ -24,3 +24,29 @@ def test_batch_equals_stream(spark, tmp_path):
         query.awaitTermination(120)
         assert query.exception() is None
     assert found == want
+
+
+def test_a_lost_table_is_an_error_and_old_ones_go(spark, tmp_path):
+    import os
+    import shutil
+
+    import pytest
+
+    from geowarden.streaming.detect import StreamDetector
+
+    engine = Engine(spark)
+    engine.add_rule("speed gt 20 { :trigger once }", "once")
+    detector = StreamDetector(engine, str(tmp_path), lambda df, n: df.collect())
+    readings = tables.telemetry(spark, SF).limit(20)
+    for number in range(4):
+        detector(readings, number)
+    assert sorted(os.listdir(f"{tmp_path}/states")) == ["batch=2", "batch=3"]
+    engine.delete_rule("once")
+    engine.add_rule("speed gt 30 { :trigger once }", "other")
+    detector(readings, 4)
+    assert {r.rule_id for r in detector.states(4).collect()} == {"other"}
+    shutil.rmtree(f"{tmp_path}/states/batch=4")
+    with pytest.raises(FileNotFoundError):
+        detector(readings, 5)
+    detector.restore(detector._read("devices", 3), detector.states(3), 4)
+    detector(readings, 5)
