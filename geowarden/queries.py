@@ -622,3 +622,21 @@ def rule_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["rule_errors"] = "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{'none' if t == 'speed eq 1' else 'text' if t.endswith('AND') else 'types'}')" for t in WRONG) + ") AS t(spec, error)"
+
+
+def _globe(k: Column) -> list[Column]:
+    """A place on the globe for a number, spread evenly."""
+    return [F.degrees(F.asin((k * 7919 % 100003).cast("double") / F.lit(50001.5) - F.lit(1.0))), (k * 104729 % 100019).cast("double") / F.lit(100019.0) * F.lit(360.0) - F.lit(180.0)]
+
+
+@query
+def nearby_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One place on the globe for each event; how many of them lie within the 10 km box of each."""
+    y, x = _globe(F.col("event_id"))
+    at = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", y.alias("lat"), x.alias("lon"))
+    found = stores.near_devices_of(at.select(F.col("event_id").alias("place_id"), F.col("lat").alias("place_lat"), F.col("lon").alias("place_lon")), at.withColumnRenamed("event_id", "device_id"), 10_000.0)
+    return found.groupBy("place_id").agg(F.count("*").alias("n"))
+
+
+ORACLE["nearby_search"] = f"""WITH p AS (SELECT event_id AS k, degrees(asin(CAST(event_id * 7919 % 100003 AS DOUBLE) / 50001.5 - 1)) AS y, CAST(event_id * 104729 % 100019 AS DOUBLE) / 100019.0 * 360 - 180 AS x FROM events)
+  SELECT a.k AS place_id, count(*) AS n FROM p a JOIN p b ON b.y BETWEEN a.y - 10000 / {M} AND a.y + 10000 / {M} AND least(abs(a.x - b.x), 360 - abs(a.x - b.x)) <= 10000 / {M} / greatest(cos(radians(a.y)), 1e-6) GROUP BY a.k"""

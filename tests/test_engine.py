@@ -13,7 +13,7 @@ from geowarden.operators import stores
 from geowarden.operators.gate import State, gate, step
 from geowarden.sources.geojson import cells_to_geojson, cover, invalid, read_objects
 
-D, G, O, P = "c5vj26evvhfjvfseauk0", "c5vj26evvhfjvfseaukg", "c5vj26evvhfjvfseauog", "c5vj26evvhfjvfseaulg"
+D, G, O, P = "van1", "bike3", "van2", "yard"
 RING = [(-72.2800060, 42.9238589), (-72.2802743, 42.9231989), (-72.2790616, 42.9232461), (-72.2787397, 42.9239689), (-72.2799953, 42.9238746), (-72.2800060, 42.9238589)]
 T0 = datetime(2024, 1, 5, 12, 0, 0)
 SCHEMA = "event_id long, device_id string, ts timestamp, lat double, lon double, speed double, layer_id string"

@@ -4,7 +4,7 @@ from geowarden.lang.ast import Both
 from geowarden.lang.check import Distance, NearDevices, NearObjects, Scalar, TypeErrorInRule, compile_rule
 from geowarden.lang.parser import ParseError, RuleError, parse, seconds
 
-A, B, C = "c5vj26evvhfjvfseaulg", "c5vj26evvhfjvfseauo0", "c5vj1kevvhfjur1l9gug"
+A, B, C = "depot_north", "depot_south", "harbour7"
 GOOD = [
     f"device nnear circle({C})",
     f"devices({A}, {B}, {C}) :radius 1km INTERSECTS objects(@) {{ :layer {B} }}",
