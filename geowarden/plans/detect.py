@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,6 +111,19 @@ def _required(tree: object) -> set[int]:
     return _required(left) | _required(right) if op == "and" else set()
 
 
+def _needs(rule: Rule) -> Column:
+    """The scalar leaves without which a rule can't hold."""
+    leaves = rule.compiled.leaves
+    return all_of([scalar(leaves[k]) for k in _required(rule.compiled.tree) if isinstance(leaves[k], Scalar)])
+
+
+def _asks(leaf: Leaf) -> Leaf:
+    """A spatial leaf without what only labels its matches."""
+    if isinstance(leaf, NearObjects):
+        return replace(leaf, pos=0, kind="", flipped=False, dwell=None)
+    return replace(leaf, pos=0, flipped=False) if isinstance(leaf, NearDevices) else replace(leaf, pos=0, kind="")
+
+
 def _fold(tree: object, leaves: list[Column]) -> Column:
     if isinstance(tree, int):
         return leaves[tree]
@@ -141,28 +155,33 @@ def _match(leaf: Leaf, ok: Column, refs: Column | None) -> Column:
 def evaluate(readings: DataFrame, objects: DataFrame, rules: list[Rule], history: DataFrame | None = None, compat: bool = False) -> DataFrame:
     """All columns of normalised ``readings`` with ``rule_id, spec, ok, match, now``: matches, and for stateful rules every reading of their area.
 
-    One pass over the readings for all scalar leaves; each spatial leaf adds a candidate join over
-    the readings that its rule's area, devices and required scalar leaves leave, and all of them
-    one aggregate and one join by event_id.
+    One pass over the readings for all scalar leaves; each different spatial leaf of an area adds a
+    candidate join over the readings that the area, devices and required scalar leaves of its rules
+    leave (rules that share a leaf share the join), and all of them one aggregate and one join by
+    event_id.
     """
     history = readings if history is None else history
-    hits: dict[tuple[int, int], DataFrame] = {}
+    users: dict[tuple, list[tuple[int, int]]] = {}
     for r, rule in enumerate(rules):
-        leaves = rule.compiled.leaves
-        needed = [scalar(leaves[k]) for k in _required(rule.compiled.tree) if isinstance(leaves[k], Scalar)]
-        mine = readings.filter(all_of([_within(rule), *needed]))
-        for k, leaf in enumerate(leaves):
-            if isinstance(leaf, NearObjects):
-                hits[r, k] = object_hits(mine, objects, leaf, compat)
-            elif isinstance(leaf, NearDevices):
-                hits[r, k] = device_hits(mine, history, leaf, compat)
-            elif isinstance(leaf, Distance):
-                hits[r, k] = distance_hits(mine, objects, history, leaf)
+        for k, leaf in enumerate(rule.compiled.leaves):
+            if not isinstance(leaf, Scalar):
+                users.setdefault((_asks(leaf), rule.compiled.layer, rule.box), []).append((r, k))
+    named = {rk: n for n, each in enumerate(users.values()) for rk in each}
+    hits: list[DataFrame] = []
+    for (leaf, _, _), each in users.items():
+        some = [_needs(rules[r]) for r in dict.fromkeys(r for r, _ in each)]
+        mine = readings.filter(_within(rules[each[0][0]]) & reduce(lambda a, b: a | b, some))
+        if isinstance(leaf, NearObjects):
+            hits.append(object_hits(mine, objects, leaf, compat))
+        elif isinstance(leaf, NearDevices):
+            hits.append(device_hits(mine, history, leaf, compat))
+        else:
+            hits.append(distance_hits(mine, objects, history, leaf))
     base = readings
     if hits:
         every = None
-        for (r, k), df in hits.items():
-            one = df.select("event_id", F.lit(f"{r}.{k}").alias("leaf"), "refs")
+        for n, df in enumerate(hits):
+            one = df.select("event_id", F.lit(n).alias("leaf"), "refs")
             every = one if every is None else every.unionByName(one)
         folded = every.groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("leaf", "refs"))).alias("hits"))
         base = readings.join(folded, "event_id", "left")
@@ -173,7 +192,7 @@ def evaluate(readings: DataFrame, objects: DataFrame, rules: list[Rule], history
             if isinstance(leaf, Scalar):
                 ok, refs = scalar(leaf), None
             else:
-                refs = F.element_at("hits", F.lit(f"{r}.{k}"))
+                refs = F.element_at("hits", F.lit(named[r, k]))
                 ok = refs.isNotNull()
             oks.append(F.coalesce(ok, F.lit(False)))
             matches.append(_match(leaf, oks[-1], refs))

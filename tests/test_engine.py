@@ -266,3 +266,25 @@ def test_hook_after_and_nested_brackets(spark, polygon):
     engine.add_rule("(" * 900 + "speed gt 20" + ")" * 900, "deep")
     engine.detect(spark.createDataFrame([(1, D, at(1), 42.9, -72.3, 50.0, "")], SCHEMA)).collect()
     assert seen == [1]
+
+
+def test_rules_that_share_a_leaf_share_its_join(spark, polygon):
+    """Forty rules over two spatial leaves: matches are those of each rule alone, with its own labels."""
+    inside = (42.9236075, -72.2792333)
+    rows = [(k, f"v{k % 3}", at(k), inside[0] + 0.002 * (k % 4), inside[1], float(k % 50), "") for k in range(60)]
+    readings = spark.createDataFrame(rows, SCHEMA)
+    engine = Engine(spark)
+    engine.add_objects(polygon)
+    texts = {f"r{k}": (f"speed gt {k} AND device INTERSECTS polygon(@)" if k % 2 else f"line(@) NEAR device :radius 150m AND speed lt {k}") for k in range(40)}
+    for rule_id, text in texts.items():
+        engine.add_rule(text, rule_id)
+    found = engine.detect(readings)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") < 12
+    got = {(r.rule.rule_id, r.event_id): [(m.operator, m.right.keyword) for m in r.match] for r in found.collect()}
+    for k in (0, 1, 10, 11, 38, 39):
+        alone = Engine(spark)
+        alone.add_objects(polygon)
+        alone.add_rule(texts[f"r{k}"], f"r{k}")
+        want = {(r.rule.rule_id, r.event_id): [(m.operator, m.right.keyword) for m in r.match] for r in alone.detect(readings).collect()}
+        assert {x: v for x, v in got.items() if x[0] == f"r{k}"} == want
+    assert got
