@@ -25,7 +25,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) one document stays, the one with the smallest id."""
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) one document stays, the one with the smallest id.
+
+    SimHash's positional bytes link first, an exact index over shingles links what they can't.
+    """
     return keep_unlike(docs)
 
 

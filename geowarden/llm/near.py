@@ -1,8 +1,10 @@
-"""Near copies by word shingles: an inverted index over prefixes, count filtering, exact verification.
+"""Near copies by word shingles: SimHash's positional bytes, then prefixes for what these can't promise; exact verification.
 
-Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.  (Byte
-positions of a 64-bit SimHash cannot promise that: such pairs differ in up to 11 and more bits.)
-If the shingles of every text are put in one order, two such texts share one of the first
+Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.  The
+sets' 64-bit SimHash fingerprints go through the index of positional bytes, the count of shared
+bytes and the test of differing bits of simhash.links(); what it links is verified on the sets.
+That is not the whole, as similar sets differ in up to 11 and more bits, so a second inverted
+index finds the rest, with the same steps over shingles in place of bytes.  If the shingles of every text are put in one order, two such texts share one of the first
 n - ceil(0.8 n) + 1 of each.  Any order will do: shingles that are common in a sample come last,
 so that few texts meet under notices and lines that many have.  The index moves as packed columns,
 one row for each part of a task and range of shingles; only shingles that two different sets have
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import body, durable, keep_least, resident, row_keys, slices, stored, tidy, trim
 from .components import components
-from .simhash import _hashes
+from .simhash import _hashes, fingerprints_of_sets, links
 from .substrings import _gaps, _ranged, _values
 
 WIDTH = 5
@@ -154,6 +156,21 @@ def _shared(group: pa.Table) -> pa.Table:
     return pa.table({"key": key[many].astype(np.int64), "set": one[many], "n": n[many], "pivot": one[lead[many]], "pn": n[lead[many]]})
 
 
+def _fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """``a, b, na, nb`` (a < b): sets of ``set, n, fp`` whose fingerprints are linked, if their sizes allow.
+
+    Sets of one fingerprint meet its smallest, and of two linked fingerprints the smallest sets meet.
+    """
+    prints = durable(prints.distinct())
+    least = durable(prints.groupBy("fp").agg(F.min(F.struct("set", "n")).alias("r")).select("fp", F.col("r.set").alias("rep"), F.col("r.n").alias("rn")))
+    same = prints.join(least, "fp").filter("set <> rep").select("set", "n", "rep", "rn")
+    x, y = (least.select(F.col("fp").alias(e), F.col("rep").alias(f"s{e}"), F.col("rn").alias(f"n{e}")) for e in "ab")
+    near = links(least.select("fp")).join(x, "a").join(y, "b").select("sa", "na", "sb", "nb")
+    swapped, (p, q) = F.col("set") > F.col("rep"), ALIKE
+    met = same.union(near).filter((q * F.col("n") >= p * F.col("rn")) & (q * F.col("rn") >= p * F.col("n")))
+    return met.select(F.least("set", "rep").alias("a"), F.greatest("set", "rep").alias("b"), F.when(swapped, F.col("rn")).otherwise(F.col("n")).alias("na"), F.when(swapped, F.col("n")).otherwise(F.col("rn")).alias("nb"))
+
+
 def _unlinked_pairs(shared: DataFrame, root: DataFrame) -> DataFrame:
     """``a, b, na, nb`` (a < b): sets of different components (``node, root``) that may be similar.
 
@@ -195,18 +212,19 @@ def alike_groups(docs: DataFrame, width: int = WIDTH, text: str = "text", sample
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(one)
-                    yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(ids), pa.array(list(map(len, sets)), pa.int64()), pa.array(kept, pa.binary())], [*names, "set", "n", "h"])
+                    new = [s if k is not None and not whole else _NO_WORDS for s, k in zip(sets, kept, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(ids), pa.array(list(map(len, sets)), pa.int64()), pa.array(fingerprints_of_sets(new)), pa.array(kept, pa.binary())], [*names, "set", "n", "fp", "h"])
 
         return run
 
-    kind = "doc_id long, _k1 long, _k2 long, set long, n long, h binary"
+    kind = "doc_id long, _k1 long, _k2 long, set long, n long, fp long, h binary"
     keyed = docs.select(F.col("doc_id").cast("long"), *row_keys(docs), body(text).alias("_text"))
     rows = stored(keyed.mapInArrow(tidy(measured(False)), kind))
-    filed = rows.filter("h is not null").select("set", "n", "h")
+    filed = rows.filter("h is not null").select("set", "n", "fp", "h")
     postings = int(filed.agg(F.coalesce(F.sum(F.length("h")), F.lit(0)).alias("b")).first()["b"]) // 8
     bits = max(1, (postings // RANGE_POSTINGS).bit_length())
     send, packed = _pack(bits)
-    shared = stored(filed.mapInArrow(tidy(send), packed).groupBy("bin").applyInArrow(_shared, "key long, set long, n long, pivot long, pn long"))
+    shared = stored(filed.drop("fp").mapInArrow(tidy(send), packed).groupBy("bin").applyInArrow(_shared, "key long, set long, n long, pivot long, pn long"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """``a, b`` of the pairs that are similar; the sets come once more from the texts."""
@@ -219,7 +237,7 @@ def alike_groups(docs: DataFrame, width: int = WIDTH, text: str = "text", sample
         return durable(pairs.join(x, "a").join(y, "b").filter(_alike(F.size(F.array_intersect("ha", "hb")))).select("a", "b"))
 
     stars = shared.filter("set <> pivot").groupBy(F.col("pivot").alias("a"), F.col("set").alias("b"), F.col("pn").alias("na"), F.col("n").alias("nb")).agg(F.count("*").alias("tally")).filter(_may_be_alike(F.col("tally"))).drop("tally")
-    first = verified(stars)
+    first = verified(_fingerprint_pairs(filed.drop("h")).union(stars).distinct())
     rest = verified(_unlinked_pairs(shared, components(first, "a", "b")))
     root = components(first.union(rest), "a", "b")
     return rows.join(root, rows["set"] == root["node"], "left").select(*names, F.coalesce("root", "set").alias("group"))

@@ -90,6 +90,17 @@ def fingerprints_of(texts: list[bytes | None], width: int = 3) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
 
 
+def fingerprints_of_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of every set of hashes as a signed 64-bit integer; 0 where it is empty."""
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    bits = np.zeros((len(sets), 64), dtype=np.uint8)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        found = _fold(np.concatenate([sets[k] for k in some]), np.cumsum(sizes[some]) - sizes[some])
+        bits[some] = 2 * found > sizes[some, None]
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
+
+
 def fingerprints(docs: DataFrame, width: int = 3, text: str = "text", keys: list[Column] | None = None) -> DataFrame:
     """``doc_id, fp`` and the ``keys`` (_k1, _k2) for each row; a null or wordless text has fingerprint 0, a null doc_id stays null."""
     names = ["_k1", "_k2"] if keys else []

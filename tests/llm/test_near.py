@@ -1,9 +1,11 @@
 import random
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from geowarden.llm import near, simhash
 from geowarden.llm.near import alike_groups
 
 
@@ -75,3 +77,30 @@ def test_one_row_of_each_group_stays(spark):
     texts = {r.text for r in corpus_pipeline.repeated_passages(spark, got.withColumn("n_chars", F.length("text").cast("long")), "").collect()}
     assert {a, b, c, d, e} <= texts
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_fingerprints_of_sets_are_majorities():
+    rng = random.Random(6)
+    sets = [np.array([rng.getrandbits(64) for _ in range(n)], dtype=np.uint64) for n in (0, 1, 2, 300, 0, 700)]
+    want = [sum((2 * sum(int(h) >> k & 1 for h in s) > len(s)) << k for k in range(64)) for s in sets]
+    assert simhash.fingerprints_of_sets(sets).view(np.uint64).tolist() == want
+
+
+def test_stage_takes_links_of_fingerprints(spark, monkeypatch):
+    rng = random.Random(7)
+    prints = [rng.getrandbits(63) for _ in range(30)]
+    prints += [p ^ 1 << rng.randrange(63) ^ 1 << rng.randrange(63) for p in prints[:20]] + prints[5:15]
+    rows = [(k, rng.randrange(90, 110), p) for k, p in enumerate(prints)]
+    sizes = {k: n for k, n, _ in rows}
+    least = {p: min(k for k, _, x in rows if x == p) for p in prints}
+    met = {(least[p], k) for k, _, p in rows if k != least[p]} | {tuple(sorted((least[p], least[x]))) for p, x in combinations(least, 2) if (p ^ x).bit_count() <= 2}
+    want = sorted((a, b, sizes[a], sizes[b]) for a, b in met if 5 * min(sizes[a], sizes[b]) >= 4 * max(sizes[a], sizes[b]))
+    assert len(want) > 25
+    assert sorted(map(tuple, near._fingerprint_pairs(spark.createDataFrame(rows * 2, "set long, n long, fp long")).collect())) == want
+
+    seen = []
+    monkeypatch.setattr(near, "links", lambda distinct: seen.append(distinct.count()) or simhash.links(distinct))
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(f"v{k}" for k in range(400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2] and seen and seen[0] in (2, 3)
