@@ -13,6 +13,9 @@ from geowarden.llm.quality import keep_good
 from geowarden.llm.secrets import redact_secrets
 from geowarden.llm.substrings import remove_repeats
 
+#: Text bytes that a worker of repeated_passages holds; half of the operator's own, as executors still hold the stages before.
+PART_BYTES = 4 << 20
+
 
 def _measured(docs: DataFrame) -> DataFrame:
     """n_chars of the texts as they are now."""
@@ -34,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 35 words and more that occur again are cut out of the texts."""
-    return _measured(remove_repeats(docs))
+    return _measured(remove_repeats(docs, part_bytes=PART_BYTES))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

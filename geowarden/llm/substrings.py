@@ -51,13 +51,9 @@ class _Part:
     """The words of a group of texts as hashes, one after the other."""
 
     def __init__(self, texts: list[bytes | None]) -> None:
-        self.words = [(t or b"").split() for t in texts]
-        self.n = np.fromiter(map(len, self.words), dtype=np.int64, count=len(texts))
-        self.hash = np.empty(int(self.n.sum()), dtype=np.uint64)
-        at = 0
-        for ws in self.words:
-            self.hash[at : at + len(ws)] = np.fromiter(map(xxhash.xxh64_intdigest, ws, repeat(7)), dtype=np.uint64, count=len(ws))
-            at += len(ws)
+        each = [np.fromiter(map(xxhash.xxh64_intdigest, ws, repeat(7)), dtype=np.uint64, count=len(ws)) for ws in map(bytes.split, (t or b"" for t in texts))]
+        self.n = np.fromiter(map(len, each), dtype=np.int64, count=len(texts))
+        self.hash = np.concatenate([np.empty(0, dtype=np.uint64), *each])
         self.start = np.concatenate(([0], np.cumsum(self.n))).astype(np.int64)
 
     def inside(self, width: int) -> np.ndarray:
@@ -276,12 +272,13 @@ def _removal(window: int, block: int, want: str):
             ok[order] = listed[group]
             gone = _covered(part, at[ok[len(full) :]], window)
         out, removed = [], []
-        for t, ws, a in zip(raw, part.words, part.start[:-1].tolist(), strict=True):
-            mine = gone[a : a + len(ws)]
+        for t, a, n in zip(raw, part.start[:-1].tolist(), part.n.tolist(), strict=True):
+            mine = gone[a : a + n]
             removed.append(int(mine.sum()))
             if want == "text":
-                out.append(None if t is None else (_cut(t, ws, mine) if removed[-1] else t).decode(errors="replace"))
+                out.append(None if t is None else (_cut(t, t.split(), mine) if removed[-1] else t).decode(errors="replace"))
             else:
+                ws = (t or b"").split()
                 out.append(sha256(b" ".join([w for w, x in zip(ws, mine.tolist(), strict=True) if not x] if removed[-1] else ws)).hexdigest())
         return pa.table({"row": texts.column("row"), "n_words": pa.array(part.n), "n_removed": pa.array(removed, pa.int64()), want: pa.array(out, pa.string())})
 

@@ -1,8 +1,9 @@
 import random
+import tracemalloc
 from collections import Counter
 from hashlib import sha256
 
-from geowarden.llm.substrings import remove_repeats, repeat_digests
+from geowarden.llm.substrings import _Part, remove_repeats, repeat_digests
 from tests.conftest import SF
 
 
@@ -73,3 +74,12 @@ def test_a_cluster_has_to_name_its_folder():
 
     with pytest.raises(RuntimeError):
         shared_folder(Session())
+
+
+def test_a_part_keeps_hashes_not_words():
+    texts = [b" ".join(b"w%07d" % k for k in range(a, a + 20_000)) for a in range(0, 200_000, 20_000)]
+    tracemalloc.start()
+    part = _Part(texts)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert part.n.tolist() == [20_000] * 10 and held < 2_500_000
