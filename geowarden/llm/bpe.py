@@ -15,7 +15,7 @@ import unicodedata
 from collections.abc import Iterator
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -32,8 +32,12 @@ STORE_WORDS = 300_000
 STORE_IDS = 3_000_000
 _END = "Ā"
 _NONE = np.int64(1 << 40)
-_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-_LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+#: Latin letters below U+0250 and what they are in lower case, with the classes of regex spelt out for re, which is faster.
+_BEYOND = re.compile("[^\0-ɏ]")
+_LOWER = "".join(sorted({x for k in range(0x250) for x in chr(k).lower()}))
+_L, _N, _S = (re.escape("".join(regex.findall(c, _LOWER))) for c in (r"\p{L}", r"\p{N}", r"\s"))
+_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
 
 def byte_letters() -> list[str]:
@@ -43,6 +47,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+class _Places(dict):
+    """Words by the order in which they were first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        return k
+
+
 class Bpe:
     """Encodes and decodes as the tokenizers library does for a vocabulary of this kind."""
 
@@ -243,61 +255,67 @@ class Bpe:
 
     # -- whole texts --------------------------------------------------------------------------
 
-    def _pieces(self, text: bytes) -> list[bytes]:
+    def _pieces(self, text: bytes) -> list[str]:
         """The words of a text, lower-cased and composed; special tokens stand as their own names."""
         if self._cut and b"<|" in text and len(parts := self._cut.split(text)) > 1:
-            return [x for p in parts if p for x in ([b" " + p] if p in self.special else self._pieces(p))]
+            return [x for p in parts if p for x in ([" " + p.decode()] if p in self.special else self._pieces(p))]
         if text.isascii():
-            return _ASCII.findall(text.lower())
+            return _ASCII.findall(text.lower().decode())
         letters = text.decode(errors="replace")
-        if max(letters) < "ɐ":
-            return [w.encode() for w in _LATIN.findall(unicodedata.normalize("NFC", letters).lower())]
+        if _BEYOND.search(letters) is None:
+            return _LATIN.findall(unicodedata.normalize("NFC", letters).lower())
         letters = self.library.normalizer.normalize_str(letters)
-        return [bytes(map(self._byte.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(letters)]
+        return [bytes(map(self._byte.__getitem__, w)).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(letters)]
 
     def forget(self) -> None:
-        self._known: dict[bytes, int] = {}
+        self._known = _Places()
         self._starts, self._lens = np.empty(1 << 14, dtype=np.int64), np.empty(1 << 14, dtype=np.int64)
         self._ids = np.empty(1 << 16, dtype=np.uint16)
-        self._used = 0
+        self._used = self._learnt = 0
         self._texts: list[bytes] = []
         if self.special:
-            self._learn([], [[k] for k in self.special.values()], [b" " + x for x in self.special])
+            for name in self.special:
+                self._known[" " + name.decode()]
+            self._keep(np.array(list(self.special.values())), np.ones(len(self.special), dtype=np.int64))
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate((a, np.empty(max(n, 2 * len(a)) - len(a), dtype=a.dtype)))
 
-    def _learn(self, words: list[bytes], given: list[list[int]] | None = None, names: list[bytes] | None = None) -> None:
-        if given is not None:
-            ids, count = np.array([x for g in given for x in g]), np.array([len(g) for g in given])
-        else:
-            ids, count, _ = self.words(words)
-        names, k = names or words, len(self._known)
-        self._starts, self._lens = self._room(self._starts, k + len(names)), self._room(self._lens, k + len(names))
+    def _keep(self, ids: np.ndarray, count: np.ndarray) -> None:
+        """Takes in the ids of the words that came since."""
+        k = self._learnt
+        self._learnt += len(count)
+        self._starts, self._lens = self._room(self._starts, self._learnt), self._room(self._lens, self._learnt)
         self._ids = self._room(self._ids, self._used + len(ids))
         self._ids[self._used : self._used + len(ids)] = ids
-        self._starts[k : k + len(names)] = self._used + np.cumsum(count) - count
-        self._lens[k : k + len(names)] = count
+        self._starts[k : self._learnt] = self._used + np.cumsum(count) - count
+        self._lens[k : self._learnt] = count
         self._used += len(ids)
-        self._known.update(zip(names, range(k, k + len(names)), strict=True))
+
+    def _places(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """The places of each text's words in the store; words go as soon as they are looked up."""
+        out = []
+        for t in texts:
+            words = self._pieces(t) if t else []
+            out.append(np.fromiter(map(self._known.__getitem__, words), dtype=np.int64, count=len(words)))
+        return out
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Ids of all texts, the offsets of each, and each one's remembered words for decode_known()."""
-        split = [self._pieces(t) if t else [] for t in texts]
-        flat = list(chain.from_iterable(split))
-        new = set(flat).difference(self._known)
-        if new:
-            if len(self._known) + len(new) > STORE_WORDS or self._used > STORE_IDS:
-                self.forget()
-                new = set(flat).difference(self._known)
-            self._learn(list(new))
-        at = np.fromiter(map(self._known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        split = self._places(texts)
+        if len(self._known) > self._learnt and (len(self._known) > STORE_WORDS or self._used > STORE_IDS):
+            self.forget()
+            split = self._places(texts)
+        if len(self._known) > self._learnt:
+            ids, count, _ = self.words([w.encode() for w in islice(self._known, self._learnt, None)])
+            self._keep(ids, count)
+        at = np.concatenate([np.empty(0, dtype=np.int64), *split])
         lens = self._lens[at]
         sums = np.concatenate(([0], np.cumsum(lens)))
         ids = self._ids[np.repeat(self._starts[at] - sums[:-1], lens) + np.arange(sums[-1])]
         words = np.concatenate(([0], np.cumsum(np.fromiter(map(len, split), dtype=np.int64, count=len(split)))))
-        return ids.astype(np.uint32), sums[words], [at[a:b] for a, b in zip(words[:-1].tolist(), words[1:].tolist(), strict=True)]
+        return ids.astype(np.uint32), sums[words], split
 
     def decode(self, ids: np.ndarray | list[int]) -> bytes:
         """As decode(ids, skip_special_tokens=False) of a vocabulary without a decoder: names between spaces."""
@@ -305,7 +323,7 @@ class Bpe:
 
     def decode_known(self, words: np.ndarray) -> bytes:
         """decode() of a text that encode() has just seen, by remembered words."""
-        for k in range(len(self._texts), len(self._known)):
+        for k in range(len(self._texts), self._learnt):
             lo = self._starts[k]
             self._texts.append(self.decode(self._ids[lo : lo + self._lens[k]]))
         return b" ".join(map(self._texts.__getitem__, words.tolist()))

@@ -1,10 +1,13 @@
 import random
+import tracemalloc
+import unicodedata
 
 import numpy as np
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from geowarden.llm.bpe import bpe, bpe_digests, decoded, encoded, vocabulary
+from geowarden.llm.bpe import _LATIN, bpe, bpe_digests, decoded, encoded, vocabulary
 from tests.conftest import SF
 
 PATH = vocabulary("word_bpe_49k.json")
@@ -65,3 +68,23 @@ def test_tables_and_defined_cases(spark):
     back = decoded(encoded(rows, PATH), PATH).collect()
     assert [tuple(r) for r in back] == [(1, ""), (1, ""), (None, "hi</w> hi</w>")]
     assert bpe_digests(spark.createDataFrame([], schema), PATH).count() == 0
+
+
+def test_classes_of_latin_words():
+    rng = random.Random(8)
+    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    for _ in range(3000):
+        text = unicodedata.normalize("NFC", "".join(chr(rng.randrange(0x250)) for _ in range(40))).lower()
+        assert _LATIN.findall(text) == pattern.findall(text)
+
+
+def test_encode_lets_words_go():
+    texts = [" ".join(f"wort{k % 50} né," for k in range(4000)).encode()] * 25
+    model = bpe(PATH)
+    ids, offsets, _ = model.encode(texts[:1])
+    tracemalloc.start()
+    many, ends, _ = model.encode(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert many.tolist() == ids.tolist() * 25 and ends.tolist() == [k * len(ids) for k in range(26)]
+    assert most < 52 * len(many)
