@@ -73,6 +73,7 @@ def test_like_the_definition(spark, cut, text, lat, lon):
     engine.add_rule(text, "r")
     got = {r.event_id: r.match[0].right.refs for r in engine.detect(df).collect()}
     assert got == {k: sorted(v) for k, v in want.items()} and len(got) > 50
+    assert {r.event_id: r.n_refs for r in engine.counts(df).collect()} == {k: len(v) for k, v in want.items()}
 
 
 def test_lists_are_made_where_they_stay(spark):
@@ -103,6 +104,30 @@ def test_one_hot_tile_is_cut(spark, cut):
     assert slabs >= 15 and max(sizes) < 300 and sum(sizes) == 2000
 
 
+def test_a_device_meets_itself_only_where_it_may(spark, cut):
+    rows = places(3, 800, 12, 42.9, -72.3, 0.02)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for compat in (False, True):
+        engine = Engine(spark, compat=compat)
+        engine.add_rule("device :bbox 900m NEAR devices(@)", "r")
+        engine.add_rule("device :bbox 900m NNEAR devices(@)", "s")
+        want = defaultdict(int)
+        for r, d, y, x in seen(rows, same=compat):
+            want[r[0], "r" if abs(y - r[3]) <= 900 / geo.DEGREE_M and abs(x - r[4]) <= 900 / geo.DEGREE_M / cos(radians(r[3])) else "s"] += 1
+        assert {(r.event_id, r.rule_id): r.n_refs for r in engine.counts(df).collect()} == want
+
+
+def test_counts_of_other_rules(spark):
+    df = spark.createDataFrame(places(3, 60, 5, 42.9, -72.3, 0.02), SCHEMA)
+    engine = Engine(spark)
+    engine.add_rule("device :bbox 900m NEAR devices(@) AND speed lt 5", "r")
+    engine.add_rule("device :bbox 900m NEAR devices(@)", "s")
+    got = defaultdict(dict)
+    for r in engine.counts(df).collect():
+        got[r.rule_id][r.event_id] = r.n_refs
+    assert got["r"] == got["s"] and got["r"]
+
+
 @pytest.mark.parametrize("lat", [0.0, 42.9, -59.0, 75.0])
 @pytest.mark.parametrize(("mine", "other"), [("radius", "radius"), ("bbox", "bbox"), ("radius", "bbox"), ("bbox", "radius")])
 def test_arithmetic_agrees_with_edges(spark, mine, other, lat):
