@@ -4,11 +4,12 @@ from datetime import datetime, timedelta
 from math import cos, radians
 
 import pytest
+from pyspark.sql import functions as F
 
 from geowarden.engine import Engine
 from geowarden.functions import geo
 from geowarden.lang.check import compile_rule
-from geowarden.operators import sweep
+from geowarden.operators import stores, sweep
 from geowarden.plans.detect import device_hits, normalise
 
 SCHEMA = "event_id long, device_id string, ts timestamp, lat double, lon double, speed double, layer_id string"
@@ -141,3 +142,20 @@ def test_arithmetic_agrees_with_edges(spark, mine, other, lat):
         found = df.select(yes.alias("yes"), no.alias("no"), geo.with_areas(areas, exact).alias("exact")).collect()
         assert not [r for r in found if r.yes and not r.exact or r.no and r.exact]
         assert lat == 75.0 or sum(r.yes or r.no for r in found) > 2700 and any(r.yes for r in found)
+
+
+def test_places_at_the_poles_and_the_antimeridian(spark, cut):
+    rng = random.Random(4)
+    points = [(k, rng.choice([-90.0, 89.99, 90.0, -89.95, -17.0, 42.9]) if k % 2 else rng.uniform(-90, 90), rng.choice([179.99, -179.99, -180.0, 0.0, 100.0]) if k % 3 else rng.uniform(-180, 180)) for k in range(600)]
+    at = spark.createDataFrame(points, "place_id long, place_lat double, place_lon double")
+    devices = at.select(F.col("place_id").alias("device_id"), F.col("place_lat").alias("lat"), F.col("place_lon").alias("lon"))
+    high, want = 10_000 / geo.DEGREE_M, set()
+    for i, y, x in points:
+        for j, y2, x2 in points:
+            dx = min(abs(x - x2), 360 - abs(x - x2))
+            if abs(y - y2) <= high and dx <= high / max(cos(radians(y)), 1e-6):
+                want.add((i, j))
+    got = [tuple(r) for r in stores.near_devices_of(at, devices, 10_000.0).collect()]
+    assert set(got) == want and len(got) == len(want)
+    counts = {r.place_id: r.n for r in stores.near_counts_of(at, devices, 10_000.0).collect()}
+    assert counts == {i: sum(1 for a, _ in want if a == i) for i, _, _ in points}
