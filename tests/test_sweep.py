@@ -159,3 +159,12 @@ def test_places_at_the_poles_and_the_antimeridian(spark, cut):
     assert set(got) == want and len(got) == len(want)
     counts = {r.place_id: r.n for r in stores.near_counts_of(at, devices, 10_000.0).collect()}
     assert counts == {i: sum(1 for a, _ in want if a == i) for i, _, _ in points}
+
+
+def test_a_layer_alone_keeps_lists_in_place(spark):
+    """A rule with a layer but no trigger has no readings to keep besides its matches."""
+    df = spark.createDataFrame(places(1, 40, 5, 42.9, -72.3, 0.02, 2), SCHEMA)
+    engine = Engine(spark)
+    engine.add_rule("device :bbox 900m NEAR devices(@) { :layer L1 }", "r")
+    assert "Join" not in engine.detect(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert engine.detect(df).count() == engine.counts(df).count() > 0
